@@ -139,13 +139,13 @@ def op4_secret_ledger(spark, sf_dir: str) -> DataFrame:
 
 
 def _duck_spans(rule: Rule) -> str:
-    pattern = rule.pattern.replace("'", "''")
+    pattern, hint = rule.pattern.replace("'", "''"), rule.hint.replace("'", "''")
     return f"""
   SELECT doc_id, unnest(list_transform(range(1, len(w) + 1), lambda i: {{
       's': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i-1], lambda x: length(x))), 0),
       'n': length(w[i]), 'p': length(p[i])}})) AS m, '{rule.kind}' AS kind, {[r.kind for r in RULES].index(rule.kind)} AS listed, {rule.least} AS least
   FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS w, regexp_extract_all(t, '{pattern}', {rule.group}) AS p, string_split_regex(t, '{pattern}') AS g
-        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE regexp_matches(t, '{hint}'))"""
 
 
 ORACLE = f"""
