@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from granary.llm import secrets, sharding
+from granary.llm import mixing, packing, secrets, sharding
 
 QUERIES = {
     "op4_secret_ledger": secrets.op4_secret_ledger,
     "op5_hypergeometric_shuffle": sharding.op5_hypergeometric_shuffle,
+    "op6_block_mix": mixing.op6_block_mix,
+    "op8_spf_packing": packing.op8_spf_packing,
 }
 
 ORACLES = {"op4_secret_ledger": secrets.ORACLE}
