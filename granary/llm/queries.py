@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from granary.llm import mixing, packing, secrets, sharding
+from granary.llm import mixing, neardup, packing, secrets, sharding, toxicity
 
 QUERIES = {
+    "op3_ftrl_toxicity": toxicity.op3_ftrl_toxicity,
     "op4_secret_ledger": secrets.op4_secret_ledger,
     "op5_hypergeometric_shuffle": sharding.op5_hypergeometric_shuffle,
     "op6_block_mix": mixing.op6_block_mix,
     "op8_spf_packing": packing.op8_spf_packing,
+    "op9_chosen_path": neardup.op9_chosen_path,
 }
 
 ORACLES = {"op4_secret_ledger": secrets.ORACLE}
