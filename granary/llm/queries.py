@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from granary.llm import mixing, neardup, packing, secrets, sharding, toxicity
+from granary.llm import linededup, mixing, neardup, packing, secrets, sharding, toxicity
 
 QUERIES = {
+    "op1_fuzzy_lines": linededup.op1_fuzzy_lines,
     "op3_ftrl_toxicity": toxicity.op3_ftrl_toxicity,
     "op4_secret_ledger": secrets.op4_secret_ledger,
     "op5_hypergeometric_shuffle": sharding.op5_hypergeometric_shuffle,
