@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import linededup, mixing, neardup, packing, secrets, sharding, toxicity
+from granary.llm import linededup, media, mixing, neardup, packing, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_fuzzy_lines": linededup.op1_fuzzy_lines,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_secret_ledger": secrets.op4_secret_ledger,
     "op5_hypergeometric_shuffle": sharding.op5_hypergeometric_shuffle,
     "op6_block_mix": mixing.op6_block_mix,
+    "op7_avi_mjpeg": media.op7_avi_mjpeg,
     "op8_spf_packing": packing.op8_spf_packing,
     "op9_chosen_path": neardup.op9_chosen_path,
 }
