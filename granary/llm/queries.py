@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import linededup, media, mixing, neardup, packing, secrets, sharding, toxicity
+from granary.llm import linededup, media, mixing, neardup, packing, secrets, sharding, toxicity, warc
 
 QUERIES = {
     "op1_fuzzy_lines": linededup.op1_fuzzy_lines,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_avi_mjpeg": media.op7_avi_mjpeg,
     "op8_spf_packing": packing.op8_spf_packing,
     "op9_chosen_path": neardup.op9_chosen_path,
+    "op10_warc_archive": warc.op10_warc_archive,
 }
 
-ORACLES = {"op4_secret_ledger": secrets.ORACLE}
+ORACLES = {"op4_secret_ledger": secrets.ORACLE, "op10_warc_archive": warc.ORACLE}
