@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIDE = 24
 SAMPLES = SIDE * SIDE
@@ -320,7 +321,7 @@ def encode(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame
                 files = [avi(jpegs(padded((t.as_py() or "").encode()))) for t in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(files, pa.binary())], names)
 
-    return df.mapInArrow(run, df.schema.add(media, "binary"))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(media, T.BinaryType())]))
 
 
 def clips(df: DataFrame, key: str, media: str = "media") -> DataFrame:

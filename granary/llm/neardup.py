@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import Scratch
-from granary.llm.linking import Linker, pick
+from granary.llm.linking import BROADCAST_IDS, Linker, pick
 
 TOKENS, TREES, DEPTH = 128, 16, 4
 #: Of 128 one-bit hashes; pairs of similarity 0.8 agree in 115 on average, 3.4 being the standard deviation.
@@ -167,6 +167,27 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     return rows.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
+def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
+    """``df`` with one document of each near-duplicate group, that of the smallest doc_id; one of the rows that share a doc_id.
+
+    Rows of null doc_id and of empty texts all stay.
+    """
+    scratch = Scratch(df.sparkSession, "keep")
+    groups = scratch.write(near_duplicates(df, text, doc_id, words, percent), "groups").filter("doc_id IS NOT NULL")
+    lost = scratch.write(groups.filter("NOT kept").select(F.col("doc_id").alias("item")).distinct(), "lost")
+    twice = scratch.write(groups.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("item")), "twice")
+    key = df[doc_id].cast("bigint")
+
+    def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return rows.join(ids, key == ids["item"], "left_anti")
+
+    kept = without(df, lost)
+    if twice.isEmpty():
+        return kept
+    return without(kept, twice).unionByName(pick(kept, doc_id, twice).dropDuplicates([doc_id]))
+
+
 def _bits(classes: DataFrame) -> DataFrame:
     """(item, x1, x2): the lowest bit of each of 128 tokens, after mixing, as two longs."""
 

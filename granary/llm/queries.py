@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from granary.llm import linededup, media, mixing, neardup, packing, secrets, sharding, toxicity, warc
+from granary.llm import linededup, media, mixing, neardup, packing, secrets, sharding, toxicity, vectors, warc
 
 QUERIES = {
     "op1_fuzzy_lines": linededup.op1_fuzzy_lines,
+    "op2_posting_lists": vectors.op2_posting_lists,
     "op3_ftrl_toxicity": toxicity.op3_ftrl_toxicity,
     "op4_secret_ledger": secrets.op4_secret_ledger,
     "op5_hypergeometric_shuffle": sharding.op5_hypergeometric_shuffle,

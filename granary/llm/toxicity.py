@@ -16,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from granary.llm.common import fresh
 
 #: ASCII other than letters and digits parts words.
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -121,13 +124,13 @@ def learn(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Model:
 _dense: dict[int, np.ndarray] = {}
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with score (double, 0 to 1) and predicted (int). A null text scores as an empty one: the bias alone.
+def score(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with a score (double, 0 to 1) and a prediction (int). A null text scores as an empty one: the bias alone.
 
-    Columns of ``docs`` named score or predicted are replaced; all others pass through.
+    Columns of ``docs`` that have those names are replaced; all others pass through.
     """
-    docs = docs.drop("score", "predicted")
-    schema = docs.schema.add("score", "double", False).add("predicted", "int", False)
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType(), False), T.StructField(names[1], T.IntegerType(), False)])
     at = docs.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -150,6 +153,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model doesn't call toxic, with their columns."""
+    names = fresh(docs, "score", "predicted")
+    return score(docs, model, text, tuple(names)).filter(F.col(names[1]) == 0).select(*docs.columns)
+
+
 def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score and prediction by weights learnt from the rows that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
