@@ -24,19 +24,19 @@ def read_csv(spark: SparkSession, path: str, skiprows: int = 0, infer: bool = Tr
 
     Rows of more fields than the header are left out, shorter ones end in nulls, and the usual
     texts for missing values are null. Types are inferred once over the whole input. Fields in
-    quotes may hold separators and line ends. A file without a line raises; one without
+    quotes may hold separators and, without ``skiprows``, line ends. A file without a line raises; one without
     data rows gives an empty table. Repeated header names get a numbered suffix.
     """
     reader = spark.read.option("header", False).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
     if skiprows:
-        # Skipped lines may have any form, so they go before the parser sees them; line numbers come from each file's own order.
-        text = spark.read.option("wholetext", True).text(path)
-        lines = text.select(F.posexplode(F.split(F.regexp_replace(F.col("value"), "\r?\n$", ""), "\r?\n"))).filter(F.col("pos") >= skiprows)
-        head = lines.filter(F.col("pos") == skiprows).select("col").first()
-        if head is None:
+        # Skipped lines may have any form, so they go before the parser sees them. They lie in the file's first block, whose lines keep their order.
+        at = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+        lines = spark.read.text(path).select(F.col("value").alias("line"), at.alias("at"))
+        top = lines.filter("at IS NOT NULL").orderBy("at").limit(skiprows + 1).collect()
+        if len(top) <= skiprows:
             raise ValueError(f"{path}: no header after {skiprows} lines")
-        header = next(csv.reader([head["col"]]))
-        body = lines.filter(F.col("pos") > skiprows).select(F.col("col").alias("line")).filter("line <> ''")
+        header = next(csv.reader([top[-1]["line"]]))
+        body = lines.filter(F.col("at").isNull() | (F.col("at") > top[-1]["at"])).select("line").filter("line <> ''")
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header) + 1)])
         rows = body.select(F.from_csv("line", schema.simpleString()[len("struct<") : -1].replace(":", " "), {"escape": '"'}).alias("r")).select("r.*")
     else:
