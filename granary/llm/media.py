@@ -139,7 +139,7 @@ def parse_avi(data: bytes) -> Video:
     if index is None or movi is None:
         return Video(fps, walked)
     entries = np.frombuffer(data, np.dtype([("kind", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]), index[1] // 16, index[0])
-    entries = entries[[k[2:] in (b"dc", b"db") for k in entries["kind"]]]
+    entries = entries[np.array([k[2:] in (b"dc", b"db") for k in entries["kind"]], dtype=bool)]
     # Offsets count from the list's name or, in some files, from the file's start.
     base = movi if len(entries) and data[movi + int(entries["at"][0]) :][:4] == entries["kind"][0] else 0
     return Video(fps, [(base + int(a) + 8, base + int(a) + 8 + int(n)) for a, n in zip(entries["at"], entries["size"], strict=True)])
@@ -336,7 +336,7 @@ def clips(df: DataFrame, key: str, media: str = "media") -> DataFrame:
                     continue
                 video, planes = read_frames(m.as_py())
                 starts = [0, *cuts(histograms(planes))] if len(planes) else []
-                for c, (a, b) in enumerate(zip(starts, [*starts[1:], len(planes)], strict=True)):
+                for c, (a, b) in enumerate(zip(starts, [*starts[1:], len(planes)], strict=False)):
                     row.append(i)
                     out.append((c, a, b - 1, a / video.fps, b / video.fps))
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64())

@@ -44,7 +44,7 @@ class Rule:
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: In the order in which kinds are listed. The first three are the base kinds.
 RULES = (
-    Rule("assign", 1, ASSIGN, 2, 8, ASSIGN[:-1] + "{8})"),
+    Rule("assign", 1, ASSIGN, 2, 8, ASSIGN[:-2] + "{8})"),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 16, r"AKIA[A-Z0-9]{12}"),
     Rule("hex", 1, r"[0-9a-f]+", 0, 32, r"[0-9a-f]{32}"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20, r"eyJ[A-Za-z0-9_-]+\.eyJ"),

@@ -213,7 +213,7 @@ class WarcReader(DataSourceReader):
                 size = 0
             out[-1].paths.append(i.path)
             size += i.size
-        return out
+        return out or [Files()]  # without partitions, Spark would read one of its own
 
     def wanted(self, values: dict[str, str | None]) -> bool:
         tests = {
