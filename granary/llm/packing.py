@@ -10,6 +10,7 @@ among pieces of equal length, in a join with the pattern table.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,18 @@ from granary.llm.common import Scratch, fresh, literal_table
 WORDS_KEPT = 500_000
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 _STOPS = frozenset(b".,")
+#: Lower-case Latin-1 letters: one run for the tokenizer, changed by none of its normalizers.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else the next from 256 on."""
+    kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    moved = [b for b in range(256) if b not in set(kept)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
+
+
+_LETTER = _byte_letters()
 
 
 class WordCache:
@@ -31,7 +44,8 @@ class WordCache:
 
     No step of the tokenizer looks across white space, nor, within a word, from a letter to a
     full stop or comma that ends the word; A-Z may be lowered before it lowers the rest. So a
-    text's ids are those of such parts, each tokenized once and remembered.
+    text's ids are those of such parts, each tokenized once and remembered. Plain words go to the
+    merges directly, past normalizers and patterns that can't change or cut them.
     """
 
     def __init__(self, path: str):
@@ -59,10 +73,16 @@ class WordCache:
                 new.append(w)
         cores = {x for w in ended for x in (w[:-1], w[-1:])}.difference(now, new)
         new.extend(cores)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                now[w] = np.array(e.ids, dtype="<u4").tobytes()
+        odd, merges = [], self.tokenizer.model.tokenize
+        for w in new:
+            text = w.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text):
+                letters = text if text.isascii() else "".join(map(_LETTER.__getitem__, w))
+                now[w] = np.array([t.id for t in merges(letters)], dtype="<u4").tobytes()
+            else:
+                odd.append((w, text))
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast([t for _, t in odd], add_special_tokens=False), strict=True):
+            now[w[0]] = np.array(e.ids, dtype="<u4").tobytes()
         for w in ended:
             now[w] = now[w[:-1]] + now[w[-1:]]
 
