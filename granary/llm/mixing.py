@@ -24,8 +24,9 @@ from granary.llm.common import WORD, Scratch, fresh, literal_table
 
 MAX_SOURCES = 100_000
 MAX_SHARDS = 4096
+PLACES_PER_TASK = 250_000
 #: Rows of one running sum; a source has as many sums as it needs.
-ROWS_PER_SUM = 50_000
+ROWS_PER_SUM = 5_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = (1, 2, 3), most: float = 3) -> list[float]:
@@ -141,13 +142,15 @@ def mix_blocks(df: DataFrame, size: str, source: str, order: list[str], block: i
                 taken[i], before = taken[i] + c, before + c
     runs = literal_table(spark, runs, "shard int, src_ int, first bigint, n bigint, before bigint, all_of bigint, stride bigint, blocks bigint, step bigint")
     wide = max([0, *blocks, *(int(r.sum()) for r in counts)]) >= 2**31
-    k = runs.withColumn("from_", F.explode(F.expr("sequence(0L, n - 1, 10000L)"))).repartition("shard", "src_", "from_").withColumn("k", F.explode(F.expr("sequence(from_, least(n, from_ + 10000) - 1)")))
+    k = runs.withColumn("from_", F.explode(F.expr("sequence(0L, n - 1, 10000L)"))).repartition(max(1, total // PLACES_PER_TASK), "shard", "src_", "from_").withColumn("k", F.explode(F.expr("sequence(from_, least(n, from_ + 10000) - 1)")))
     nth = F.col("first") + F.col("k")
     i = F.pmod(nth, F.col("blocks"))
     k = k.withColumns({"i_": i, "pass_": ((nth - i) / F.col("blocks")).cast("bigint"), "p_": F.col("before") + F.col("k")})
     pick = permuted(F.col("i_"), F.col("blocks"), F.col("step"), F.xxhash64("src_", "pass_", F.lit(seed)), wide)
     place = permuted(F.col("p_"), F.col("all_of"), F.col("stride"), F.xxhash64("shard", F.lit(seed + 1)), wide)
-    return Mix(rows.drop("sum_", "sums_"), pieces, k.select("shard", place.alias("position"), "src_", "pass_", pick.alias("block")), scratch)
+    # Places grow with the input, but come from a small literal: without a hint they would be broadcast.
+    places = k.select("shard", place.alias("position"), "src_", "pass_", pick.alias("block")).hint("merge")
+    return Mix(rows.drop("sum_", "sums_"), pieces, places, scratch)
 
 
 def word_count(text: Column) -> Column:
@@ -167,7 +170,7 @@ def mix_documents(df: DataFrame, text: str = "text", source: str = "source", doc
     # Rows equal in all three are told apart by their number; which is which makes no difference.
     some = some.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(doc_id)))
     plan = mix_blocks(some.select(F.col(doc_id).alias("doc_"), F.col(source).alias("source_"), F.col(size).alias("words_"), F.col(key).alias("key_"), F.col(nth).alias("nth_")), "words_", "source_", ["doc_", "words_", "key_", "nth_"], **options)
-    times = plan.places.groupBy("src_", "block").agg(F.count("*").alias("times"))
+    times = plan.places.groupBy("src_", "block").agg(F.count("*").alias("times")).hint("merge")
     taken = plan.pieces.join(times, ["src_", "block"]).groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("start", "length", "times"))).alias("taken_"))
     taken = taken.join(plan.rows.select("row_", F.col("key_").alias("tk_"), F.col("nth_").alias("tn_")), "row_").drop("row_")
     out = some.join(taken, (F.col(key) == F.col("tk_")) & (F.col(nth) == F.col("tn_")))
