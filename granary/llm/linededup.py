@@ -9,10 +9,11 @@ components; of each component, the line that comes first (by doc_id, then line n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import Scratch, fresh
@@ -48,7 +49,9 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[at]), first
 
 
+@lru_cache(4096)
 def line_set(line: str) -> np.ndarray:
+    """The line's shingles; pairs that share a line mostly follow each other."""
     return np.unique(shingle_hashes([line])[0])
 
 
@@ -79,6 +82,11 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(bands(lines).view(np.int64).ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(lines)), BANDS)))], ["bucket", "item"])
 
 
+def _trimmed(c: Column) -> Column:
+    """Without ASCII white space at the ends; a pattern for that would try every run of blanks inside."""
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
+
+
 def line_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 80) -> DataFrame:
     """(doc_id, line_no, line_key, first_doc_id, first_line_no, kept) for every line of every text that isn't blank.
 
@@ -89,9 +97,8 @@ def line_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", perce
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "lines")
-    trimmed = F.regexp_replace("line", "^\\s+|\\s+$", "")
     lines = df.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", trimmed).filter("line <> ''").withColumn("line_key", F.unhex(F.md5(F.col("line").cast("binary"))))
+    lines = lines.withColumn("line", _trimmed(F.col("line"))).filter("line <> ''").withColumn("line_key", F.unhex(F.md5(F.col("line").cast("binary"))))
     # min over structs takes nulls first; is_null puts them last.
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("line_no"))
     classes = lines.groupBy("line_key").agg(F.first("line").alias("line"), F.min(place).alias("at"))
@@ -124,11 +131,11 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", perce
     parts = F.split(F.col(text), "\n")
 
     def stays(line, i):
-        digest = F.unhex(F.md5(F.regexp_replace(line, "^\\s+|\\s+$", "").cast("binary")))
+        digest = F.unhex(F.md5(_trimmed(line).cast("binary")))
         return ~F.array_contains(F.col(lost), F.struct(i.alias("line_no"), digest.alias("line_key")))
 
     left = F.array_join(F.filter(parts, stays), "\n")
-    left = F.when(F.trim(F.regexp_replace(left, "\\s+", " ")) == "", F.lit("")).otherwise(left)
+    left = F.when(_trimmed(left) == "", F.lit("")).otherwise(left)
     out = out.withColumn(text, F.when(F.col(lost).isNull() | F.col(text).isNull(), F.col(text)).otherwise(left))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length(text), F.lit(0)).cast(df.schema["n_chars"].dataType))
