@@ -2,10 +2,11 @@
 
 Items that share a bucket are candidates. Linear work comes first: every item is compared with
 its bucket's smallest item, and verified links are joined to components. Only buckets that
-still hold several components go on: small ones compare all pairs across components, large
-ones are branched by the caller, and what can't be branched further is compared in blocks, every
-item outside the bucket's main component against all. Pairs inside one component can't change
-the result and are never compared.
+still hold several components go on: small ones compare all pairs across components; large
+ones without a main component are branched by the caller; those with one, which are alike and
+wouldn't fall apart, and what can't be branched further are compared in blocks, every item outside
+the main component against all. Pairs inside one component can't change the result and are
+never compared.
 """
 
 from __future__ import annotations
@@ -22,8 +23,12 @@ from granary.llm.components import connected_components
 
 #: Ids up to so many (8 bytes each) are broadcast to pick rows; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: A large bucket with this share of its items in one component is compared in blocks.
+DENSE = 0.25
 #: Items of a block; a pair of blocks is compared by one matrix product.
-BLOCK = 64
+BLOCK = 128
+#: Elements of a matrix at a time.
+COLUMNS = 16_384
 
 
 def pick(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -44,15 +49,15 @@ class Linker:
         self.near = near or (lambda pairs: pairs)
         self.made = 0
 
-    def _write(self, df: DataFrame, what: str) -> DataFrame:
+    def _write(self, df: DataFrame, what: str) -> tuple[DataFrame, str]:
         self.made += 1
-        return self.scratch.write(df, f"{what}{self.made}")
+        return self.scratch.write(df, f"{what}{self.made}"), f"{what}{self.made}"
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among distinct ``pairs`` (a, b), by their whole sets."""
-        pairs = self._write(self.near(pairs), "pairs")
-        ids = self._write(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "ids")
-        sets = self._write(self.fetch(ids), "sets")
+        pairs, a = self._write(self.near(pairs), "pairs")
+        ids, b = self._write(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "ids")
+        sets, c = self._write(self.fetch(ids), "sets")
         to_set, percent = self.to_set, self.percent
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,13 +67,14 @@ class Linker:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         both = pairs.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b").select("a", "b", "p", "q")
-        return self._write(both.mapInArrow(compare, "a bigint, b bigint"), "links")
+        links, _ = self._write(both.mapInArrow(compare, "a bigint, b bigint"), "links")
+        self.scratch.drop(a, b, c)
+        return links
 
     def _block_links(self, rest: DataFrame) -> DataFrame:
-        """Links in ``rest`` (bucket, item, n, comp) between components: in each bucket, items outside the main component against all."""
-        main = rest.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
-        ids = self._write(rest.select("item").distinct(), "ids")
-        whole = rest.join(self.fetch(ids), "item").join(main, "bucket")
+        """Links in ``rest`` (bucket, item, n, comp, main) between components: in each bucket, items outside the main component against all."""
+        ids, a = self._write(rest.select("item").distinct(), "ids")
+        whole, b = self._write(rest.join(self.fetch(ids), "item"), "whole")
         block = F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / BLOCK)).alias("block")
         cells = F.collect_list(F.struct("item", "comp", "payload"))
         every = whole.groupBy("bucket", block).agg(cells.alias("x"))
@@ -82,7 +88,16 @@ class Linker:
                     found += block_links(x.as_py(), y.as_py(), to_set, percent)
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-        return self._write(every.join(probes, "bucket").select("x", "y").mapInArrow(compare, "a bigint, b bigint"), "links")
+        # Rows are blocks here, so a batch takes few of them.
+        conf, name = rest.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(name)
+        conf.set(name, "16")
+        try:
+            links, _ = self._write(every.join(probes, "bucket").select("x", "y").mapInArrow(compare, "a bigint, b bigint"), "links")
+        finally:
+            conf.set(name, before)
+        self.scratch.drop(a, b)
+        return links
 
     def components(self, members: DataFrame, branch: Callable | None = None, depth: int = 1) -> DataFrame:
         """(id, component), for items that aren't their component's smallest, of ``members`` (bucket, item).
@@ -91,38 +106,41 @@ class Linker:
         """
         links: DataFrame | None = None
         for level in range(depth):
-            members = self._write(members, "members")
+            members, a = self._write(members, "members")
             heads = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("item").alias("head")).filter("n > 1")
-            shared = self._write(members.join(heads, "bucket"), "shared")
+            shared, b = self._write(members.join(heads, "bucket"), "shared")
+            self.scratch.drop(a)
             star = shared.filter("item <> head").select(F.col("item").alias("a"), F.col("head").alias("b")).distinct()
             new = self.verified(star)
             links = new if links is None else links.union(new)
-            rest = self._mixed(shared, self._components(links))
-            if rest.isEmpty():
-                break
+            rest, c = self._mixed(shared, self._components(links))
             cross = F.expr("flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> y.comp <> x.comp), y -> struct(greatest(x.item, y.item) AS a, least(x.item, y.item) AS b))))")
             groups = rest.filter(F.col("n") <= self.small).groupBy("bucket").agg(F.collect_list(F.struct("item", "comp")).alias("g"))
             pairs = groups.select(F.inline(cross)).distinct().join(star, ["a", "b"], "left_anti")
             links = links.union(self.verified(pairs))
-            members = rest.filter(F.col("n") > self.small)
+            self.scratch.drop(b)
+            large = rest.filter(F.col("n") > self.small)
+            go_on = branch and level + 1 < depth
+            dense = large.filter(F.col("main_n") >= DENSE * F.col("n")) if go_on else large
+            if not dense.isEmpty():
+                links = links.union(self._block_links(dense))
+            members = large.filter(F.col("main_n") < DENSE * F.col("n")) if go_on else large.limit(0)
             if members.isEmpty():
+                self.scratch.drop(c)
                 break
-            if level + 1 < depth and branch:
-                members = branch(members.select("bucket", "item"))
-            else:
-                rest = self._mixed(members.select("bucket", "item", "n"), self._components(links))
-                links = links.union(self._block_links(rest))
+            members = branch(members.select("bucket", "item"))
         return self._components(links)
 
     def _components(self, links: DataFrame) -> DataFrame:
         self.made += 1
         return connected_components(links, self.scratch, f"cc{self.made}")
 
-    def _mixed(self, shared: DataFrame, found: DataFrame) -> DataFrame:
-        """Members (bucket, item, n, comp) of buckets that hold several components."""
+    def _mixed(self, shared: DataFrame, found: DataFrame) -> tuple[DataFrame, str]:
+        """Members (bucket, item, n, comp, main, main_n) of buckets that hold several components; main: the largest, of main_n items."""
         rows = shared.join(found.withColumnRenamed("id", "item"), "item", "left").select("bucket", "item", "n", F.coalesce("component", "item").alias("comp"))
-        several = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-        return self._write(rows.join(several, "bucket", "left_semi"), "mixed")
+        each = rows.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("count", "comp")).alias("top"))
+        several = each.filter("comps > 1").select("bucket", F.col("top.comp").alias("main"), F.col("top.count").alias("main_n"))
+        return self._write(rows.join(several, "bucket"), "mixed")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -135,21 +153,25 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
+def _matrix(sets: list[np.ndarray], elements: np.ndarray) -> np.ndarray:
+    """A row of ones and zeros for each set: which of the sorted elements it has."""
+    out = np.zeros((len(sets), len(elements)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        at = np.searchsorted(elements, s)
+        at[at == len(elements)] = 0
+        out[i, at[elements[at] == s]] = 1
+    return out
+
+
 def block_links(xs: list[dict], ys: list[dict], to_set: Callable, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between two blocks whose components differ."""
     a, b = [to_set(c["payload"]) for c in xs], [to_set(c["payload"]) for c in ys]
     na, nb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
     vocabulary = np.intersect1d(np.concatenate(a), np.concatenate(b))
-
-    def matrix(sets: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(sets), len(vocabulary)), dtype=np.float32)
-        for i, s in enumerate(sets):
-            at = np.searchsorted(vocabulary, s)
-            at[at == len(vocabulary)] = 0
-            out[i, at[vocabulary[at] == s] if len(vocabulary) else []] = 1
-        return out
-
-    common = np.rint(matrix(a) @ matrix(b).T).astype(np.int64)
+    common = np.zeros((len(a), len(b)), np.int64)
+    for start in range(0, len(vocabulary), COLUMNS):
+        some = vocabulary[start : start + COLUMNS]
+        common += np.rint(_matrix(a, some) @ _matrix(b, some).T).astype(np.int64)
     union = na[:, None] + nb[None, :] - common
     ok = (100 * common >= percent * union) & (na[:, None] > 0) & (nb[None, :] > 0)
     parent: dict[int, int] = {}
