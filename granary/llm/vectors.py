@@ -4,8 +4,10 @@ Centroids come from a bounded sample: k-means, then lists far above the mean siz
 smallest given up, until lists are balanced. A graph over the centroids, held in memory, finds the
 lists near a vector by best-first search. Every vector of the table is posted to its
 nearest list and, near a boundary, to the further lists whose distance is within a ratio of
-the nearest and that no chosen list already covers. A query searches the lists whose distance is
-within a ratio of its nearest; posted vectors are scored exactly, in blocks.
+the nearest and that no chosen list already covers. A query takes lists by distance until they
+surely hold several times the vectors asked for, and all lists within a ratio of the last one's
+distance; posted vectors are scored exactly, in blocks. Queries that still find too few are
+compared with every vector.
 
 Largest inner product becomes least distance by one more component, sqrt(M^2 - |v|^2), with M the
 largest norm; queries have 0 there.
@@ -30,7 +32,7 @@ class Options:
 
     replicas, posting_ratio: lists a vector is posted to, at most, and how much farther than the
     nearest they may be. search_ratio: the same for the lists that a query searches, of any
-    number. beam: of the graph search, at least beam_share of all lists for queries: vectors without
+    number, against the list with which they hold more than ``spare`` times the vectors asked for. beam: of the graph search, at least beam_share of all lists for queries: vectors without
     clusters need many lists. block: vectors scored by one matrix product.
     """
 
@@ -41,6 +43,7 @@ class Options:
     replicas: int = 4
     posting_ratio: float = 1.10
     search_ratio: float = 1.11
+    spare: int = 4
     beam: int = 64
     beam_share: float = 0.4
     block: int = 512
@@ -84,11 +87,15 @@ def balanced_centroids(x: np.ndarray, k: int, seed: int, rounds: int = 6) -> np.
 
 @dataclass
 class Graph:
-    """Centroids (bounded by ``max_lists``), each linked to its nearest and a few random others; searches start at ``entries``."""
+    """Centroids (bounded by ``max_lists``), each linked to its nearest and a few random others; searches start at ``entries``.
+
+    held: of each list, the vectors whose nearest list it is; replicas don't count, so sums over lists are of different vectors.
+    """
 
     centroids: np.ndarray
     links: np.ndarray
     entries: np.ndarray
+    held: np.ndarray
 
     @classmethod
     def build(cls, c: np.ndarray, links: int, seed: int) -> Graph:
@@ -102,7 +109,7 @@ class Graph:
             rows.append(np.argpartition(d, near - 1, axis=1)[:, :near] if near else np.zeros((len(d), 0), int))
         far = rng.integers(0, len(c), (len(c), min(8, len(c))))
         entries = rng.choice(len(c), min(16, len(c)), replace=False)
-        return cls(c.astype(np.float32), np.concatenate([np.concatenate(rows), far], axis=1).astype(np.int32), entries)
+        return cls(c.astype(np.float32), np.concatenate([np.concatenate(rows), far], axis=1).astype(np.int32), entries, np.zeros(len(c), np.int64))
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """For each row of ``q``, the nearest lists found and their distances, nearest first; -1 and inf where there are fewer."""
@@ -157,15 +164,18 @@ class Graph:
         row, j = np.nonzero(chosen)
         return row, ids[row, j]
 
-    def search_lists(self, q: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
+    def search_lists(self, q: np.ndarray, o: Options, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs: a query on the centroid of a small group has distance 0 to it, so the ratio alone wouldn't leave the group."""
         ids, dist = self.search(q, max(o.beam, int(len(self.centroids) * o.beam_share)))
-        row, j = np.nonzero((ids >= 0) & (dist <= o.search_ratio * dist[:, :1] + 1e-7))
+        enough = np.where(ids >= 0, self.held[ids], 0).cumsum(1) > o.spare * k
+        reach = np.where(enough.any(1), dist[np.arange(len(q)), enough.argmax(1)], np.inf)
+        row, j = np.nonzero((ids >= 0) & (dist <= o.search_ratio * reach[:, None] + 1e-7))
         return row, ids[row, j]
 
 
 @dataclass
 class Index:
-    """graph: in memory. postings: (list, part, cells) with cells an array of (id, vector as float32 bytes), at most about ``block`` each."""
+    """graph: in memory. postings: (list, part, cells, held) with cells an array of (id, vector as float32 bytes), at most about ``block`` each."""
 
     graph: Graph | None
     postings: DataFrame
@@ -182,10 +192,11 @@ def _cells(rows: DataFrame, o: Options, block: int) -> DataFrame:
     """(list, part, cells) of rows (list, id, vector). Lists of any length: a list has as many parts as it needs."""
     parts = rows.groupBy("list").agg(F.ceil(F.count("*") / block).alias("parts"))
     rows = rows.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("id", "vector"), F.col("parts")))
-    return rows.groupBy("list", "part").agg(F.collect_list(F.struct("id", "vector")).alias("cells"))
+    return rows.groupBy("list", "part").agg(F.collect_list(F.struct("id", "vector")).alias("cells"), F.count_if("first").alias("held"))
 
 
-def _listed(rows: DataFrame, graph: Graph, size: int, largest: float, query: bool, o: Options) -> DataFrame:
+def _listed(rows: DataFrame, graph: Graph, size: int, largest: float, k: int | None, o: Options) -> DataFrame:
+    """(list, id, vector, first) of rows (id, v): the lists a vector is posted to, or with ``k`` those that a query for so many searches. first: its nearest."""
     sent = rows.sparkSession.sparkContext.broadcast(graph)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +205,14 @@ def _listed(rows: DataFrame, graph: Graph, size: int, largest: float, query: boo
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 x = _matrix(part.column(1), size)
-                extra = np.zeros((len(x), 1), np.float32) if query else np.sqrt(np.maximum(0, largest**2 - (x.astype(np.float64) ** 2).sum(1)))[:, None].astype(np.float32)
-                row, lists = (g.search_lists if query else g.posting_lists)(np.concatenate([x, extra], axis=1), o)
+                extra = np.zeros((len(x), 1), np.float32) if k is not None else np.sqrt(np.maximum(0, largest**2 - (x.astype(np.float64) ** 2).sum(1)))[:, None].astype(np.float32)
+                x1 = np.concatenate([x, extra], axis=1)
+                row, lists = g.posting_lists(x1, o) if k is None else g.search_lists(x1, o, k)
+                first = np.diff(row, prepend=-1) > 0
                 vectors = pa.array([x[i].tobytes() for i in range(len(x))], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column(0).take(pa.array(row)), vectors.take(pa.array(row))], ["list", "id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column(0).take(pa.array(row)), vectors.take(pa.array(row)), pa.array(first)], ["list", "id", "vector", "first"])
 
-    return rows.mapInArrow(run, "list int, id bigint, vector binary")
+    return rows.mapInArrow(run, "list int, id bigint, vector binary, first boolean")
 
 
 def build_index(df: DataFrame, key: str, vector: str, o: Options = Options(), scratch: Scratch | None = None) -> Index:
@@ -210,7 +223,7 @@ def build_index(df: DataFrame, key: str, vector: str, o: Options = Options(), sc
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"), F.max(norm).alias("norm")).orderBy(F.desc("n"), "size").first()
     if sizes is None:
-        return Index(None, spark.createDataFrame([], "list int, part bigint, cells array<struct<id:bigint,vector:binary>>"), 0.0, 0, o)
+        return Index(None, spark.createDataFrame([], "list int, part bigint, cells array<struct<id:bigint,vector:binary>>, held bigint"), 0.0, 0, o)
     size, n, largest = sizes["size"], sizes["n"], float(sizes["norm"])
     rows = rows.filter(F.size("v") == size)
     most = max(1, o.sample_bytes // (4 * size))
@@ -219,31 +232,53 @@ def build_index(df: DataFrame, key: str, vector: str, o: Options = Options(), sc
     x = np.concatenate([x, np.sqrt(np.maximum(0, largest**2 - (x.astype(np.float64) ** 2).sum(1)))[:, None].astype(np.float32)], axis=1)
     lists = max(1, min(o.max_lists, -(-n // o.list_rows), len(x) // 4))
     graph = Graph.build(balanced_centroids(x, lists, o.seed), o.links, o.seed)
-    postings = scratch.write(_cells(_listed(rows, graph, size, largest, False, o), o, o.block), "postings")
+    postings = scratch.write(_cells(_listed(rows, graph, size, largest, None, o), o, o.block), "postings")
+    for r in postings.groupBy("list").agg(F.sum("held").alias("held")).collect():
+        graph.held[r["list"]] = r["held"]
     return Index(graph, postings, largest, size, o)
 
 
 def search(index: Index, queries: DataFrame, key: str, vector: str, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` largest inner products found, its own id left out; ties to the smaller id.
 
-    Queries that are not usable get no rows. Rows of ``queries`` that share an id are one query.
+    A query has fewer than ``k`` rows only if the index has fewer other ids. Queries that are not
+    usable get no rows. Rows of ``queries`` that share an id are one query.
     """
-    o, size = index.options, index.size
+    o, size, spark = index.options, index.size, queries.sparkSession
     schema = "query_id bigint, vec_id bigint, score double"
     if index.graph is None:
-        found = queries.sparkSession.createDataFrame([], schema)
-    else:
-        rows = queries.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id IS NOT NULL").filter(usable(F.col("v"), size))
-        asked = _cells(_listed(rows, index.graph, size, index.largest, True, o), o, 256).withColumnRenamed("cells", "asked")
-        pairs = index.postings.join(asked.drop("part"), "list").select("cells", "asked")
+        return _ranked(spark.createDataFrame([], schema), k)
+    scratch = Scratch(spark, "nearest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (vi, v), (qi, q) = (_unpacked(batch.column(c)[i].values, size) for c in (0, 1))
+                again = len(vi) - len(np.unique(vi))  # rows that share an id don't take another's place
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in top(qi, q, vi, v, k + again)], ["query_id", "vec_id", "score"])
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return _ranked(pairs.select("cells", "asked").mapInArrow(run, schema).dropDuplicates(["query_id", "vec_id"]), k)
+
+    rows = queries.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id IS NOT NULL").filter(usable(F.col("v"), size))
+    asked = _cells(_listed(rows, index.graph, size, index.largest, k, o), o, 256).select("list", F.col("cells").alias("asked"))
+    found = scratch.write(scored(index.postings.join(asked, "list")), "found")
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = scratch.write(rows.join(full, "id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int32)), batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(np.ones(len(x), bool))], ["list", "id", "vector", "first"])
+
+    asked = _cells(short.mapInArrow(packed, "list int, id bigint, vector binary, first boolean"), o, 256).select(F.col("cells").alias("asked"))
+    every = scored(index.postings.crossJoin(asked))
+    return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(every)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    (vi, v), (qi, q) = (_unpacked(batch.column(c)[i].values, size) for c in (0, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in top(qi, q, vi, v, k)], ["query_id", "vec_id", "score"])
 
-        found = pairs.mapInArrow(run, schema).dropDuplicates(["query_id", "vec_id"])
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -330,6 +330,36 @@ def test_few_vectors(spark):
     assert vectors.search(vectors.build_index(none, "vec_id", "v"), none, "vec_id", "v").count() == 0
 
 
+def test_small_groups_of_copies(spark):
+    """Queries in groups smaller than k, on a centroid of their own, find what lies beyond the group."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30, 16))[rng.integers(0, 30, 2400)] + 0.5 * rng.normal(size=(2400, 16))
+    x = np.concatenate([x, np.repeat(rng.normal(size=(50, 16)), 12, axis=0)])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) + 1e-5 * rng.normal(size=x.shape)).astype(np.float32)
+    ids = np.arange(3000)
+    asked = ids[2400::4]
+    want, _ = exact(ids, x, 20, asked)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<float>")
+    index = vectors.build_index(df, "vec_id", "v", vectors.Options(list_rows=24))
+    by = {}
+    for r in vectors.search(index, df.filter("vec_id >= 2400 AND vec_id % 4 = 0"), "vec_id", "v", 20).collect():
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(by) == set(want) and all(len(v) == 20 for v in by.values())
+    assert np.mean([len(by[q] & set(want[q])) / 20 for q in want]) >= 0.9
+
+
+def test_short_queries_see_every_vector(spark):
+    """Rows that share an id fill lists, but are one neighbour: the rest comes from all vectors."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    rows = [(1, [10.0] * 8)] * 300 + [(i + 2, v.tolist()) for i, v in enumerate(x)] + [(0, [10.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<float>")
+    index = vectors.build_index(df, "vec_id", "v", vectors.Options(list_rows=50))
+    got = vectors.search(index, df.filter("vec_id = 0"), "vec_id", "v", 20).orderBy("rank").collect()
+    s = x.astype(float).sum(1)
+    assert [r["vec_id"] for r in got] == [i for _, i in sorted([(-80.0, 1), *((-v, i + 2) for i, v in enumerate(s))])[:20]]
+
+
 # Toxicity
 
 
