@@ -27,6 +27,8 @@ _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 _STOPS = frozenset(b".,")
 #: Lower-case Latin-1 letters: one run for the tokenizer, changed by none of its normalizers.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: First bytes of characters from U+0300 on; none below composes with a letter.
+_FAR = re.compile(b"[\xcc-\xff]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -43,9 +45,11 @@ class WordCache:
     """Ids of words between ASCII white space, as little-endian bytes of unsigned 32-bit numbers.
 
     No step of the tokenizer looks across white space, nor, within a word, from a letter to a
-    full stop or comma that ends the word; A-Z may be lowered before it lowers the rest. So a
-    text's ids are those of such parts, each tokenized once and remembered. Plain words go to the
-    merges directly, past normalizers and patterns that can't change or cut them.
+    full stop or comma that ends the word. So a text's ids are those of such parts, each tokenized
+    once and remembered. A-Z are lowered first, but not in words that hold an added token's text,
+    which is taken as written, or characters from U+0300 on: marks may compose with the lower-case
+    letter only, and the tokenizer composes before it lowers. Plain words go to the merges
+    directly, past normalizers and patterns that can't change or cut them.
     """
 
     def __init__(self, path: str):
@@ -53,7 +57,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.now: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
@@ -86,10 +90,18 @@ class WordCache:
         for w in ended:
             now[w] = now[w[:-1]] + now[w[-1:]]
 
+    def words(self, text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "replace")
+        low = raw.lower()
+        added = [a for a in self.added if a in low]
+        if not added and (raw.isascii() or not _FAR.search(raw)):
+            return low.split()
+        return [w if _FAR.search(w) or any(a in w.lower() for a in added) else w.lower() for w in raw.split()]
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text. Words are learnt for a few texts at a time."""
         for at in range(0, len(texts), 64):
-            words = [t.encode("utf-8", "replace").lower().split() for t in texts[at : at + 64]]
+            words = [self.words(t) for t in texts[at : at + 64]]
             self.learn(set().union(*words))
             get = self.now.__getitem__
             yield from (b"".join(map(get, w)) for w in words)

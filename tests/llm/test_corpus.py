@@ -193,6 +193,16 @@ def test_tokens_and_packs(docs, rows, none):
     assert packing.pack(packing.cut_pieces(none, packing.public_tokenizer())).count() == 0
 
 
+def test_special_tokens_and_marks():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.public_tokenizer())
+    texts = ["one <|endoftext|> two", "A<|startoftext|>B. <|ENDOFTEXT|> <|endoftext|>, c", "H\u0331 h\u0331", "J\u030c T\u0308 W\u030a Y\u030a.", "Caf\u00e9 E\u0301T\u00c9. \u212a \u65e5\u672cABC, Plain"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in packing.WordCache(packing.public_tokenizer()).ids(texts)]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert got[0] == [637, 49407, 1237] and got[2][:3] == [327, 136, 365]
+
+
 # Media
 
 
