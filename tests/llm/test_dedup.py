@@ -148,3 +148,18 @@ def test_band_recall():
         b = a[:146] + "".join(rng.choice(list("ABCDEFGH"), 14))
         hits += bool((linededup.bands([a])[0] == linededup.bands([b])[0]).any())
     assert hits >= 297
+
+
+def test_query_keeps_near_lines_of_ordinary_length(spark, tmp_path):
+    """One character changed in the middle of 60, two in 110; op1 and the pipeline's stage link them, unlike lines stay."""
+    import corpus_pipeline
+
+    one = "the quick brown fox jumps over the lazy dog by an old stone w"
+    two = " ".join(f"{a}{b}" for a, b in zip("sun rain wind snow hail mist cloud storm frost thaw".split(), range(137, 9137, 900))) + " and some more words to fill this line"
+    texts = [one, one.replace("jumps", "jumbs"), two, two.replace("hail", "haul").replace("some", "same"), "another line that has nothing to do with those above it here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["first_doc_id"] for r in linededup.op1_fuzzy_lines(spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+    left = {r["doc_id"]: bool(r["text"]) for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
+    assert left == {0: True, 1: False, 2: True, 3: False, 4: True}
