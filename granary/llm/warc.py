@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -75,10 +76,10 @@ def member(data: bytes, level: int = 1) -> bytes:
 
 
 class _Bytes:
-    """A forward reader with a buffer; ``skip`` seeks."""
+    """A forward reader with a buffer; ``skip`` seeks. taken: bytes read so far."""
 
     def __init__(self, file):
-        self.file, self.buffer, self.at = file, b"", 0
+        self.file, self.buffer, self.at, self.taken = file, b"", 0, 0
 
     def need(self, n: int) -> bool:
         while len(self.buffer) - self.at < n:
@@ -92,6 +93,7 @@ class _Bytes:
         self.need(n)
         out = self.buffer[self.at : self.at + n]
         self.at += len(out)
+        self.taken += len(out)
         return out
 
     def line(self) -> bytes:
@@ -181,13 +183,31 @@ def _records(file, compressed: bool) -> Iterator[tuple[dict[str, str], _Bytes]]:
             m.close()
 
 
+_CHUNK = re.compile(rb"([0-9A-Fa-f]+)[ \t]*(?:;[^\n]*)?\r?\n")
+
+
+def unchunked(body: bytes) -> tuple[bytes, bool]:
+    """A chunked body's data, and whether it came to its last chunk. A body without chunks (some crawlers undo them and keep the header) is its own data."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        size, at = int(m[1], 16), m.end()
+        if not size:
+            return b"".join(out), True
+        out.append(body[at : at + size])
+        if len(out[-1]) < size:
+            return b"".join(out), False
+        at += size
+        at += 2 if body[at : at + 2] == b"\r\n" else body[at : at + 1] == b"\n"
+    return (b"".join(out), False) if out else (body, True)
+
+
 @dataclass
 class Files(InputPartition):
     paths: list[str] = field(default_factory=list)
 
 
 class WarcReader(DataSourceReader):
-    """Options: path; payload: decode (the default; checked against its digest), verify (checked, returned null) or skip (never inflated)."""
+    """Options: path; payload: decode (the default; checked against its digest), verify (checked, returned null) or skip (not inflated, but for chunked bodies, whose length only shows so)."""
 
     def __init__(self, options: dict):
         self.path, self.payload, self.filters = options["path"], options.get("payload", "decode"), []
@@ -248,18 +268,35 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     def _body(self, headers: dict[str, str], source: _Bytes, values: dict) -> dict:
+        """The payload and its length. That of an HTTP message is the rest of the block, without chunking, or as much of it as its Content-Length says.
+
+        A revisit's length is what its HTTP headers say, null if they don't.
+        """
         size = int(headers.get("content-length", 0))
-        length, payload = size, None
+        length, payload, chunked = size, None, False
         if headers.get("content-type", "").startswith("application/http"):
-            at = source.line()
+            begun = source.taken
+            status = source.line().split(b" ")[1:2]
             http = _headers(source)
-            length = int(http.get("content-length", 0))
-            size = length if at else 0
-        if values["record_type"] != "revisit" and self.payload != "skip":
-            payload = source.take(size)
-            if len(payload) != size or values["payload_digest"] and digest(payload) != values["payload_digest"]:
+            size = max(0, size - (source.taken - begun))
+            chunked = "chunked" in http.get("transfer-encoding", "").lower()
+            told = http.get("content-length", "")
+            length = int(told) if told.isdecimal() and not chunked else None
+            if values["record_type"] != "revisit":
+                bare = not size and status in ([b"204"], [b"304"])
+                length = size if length is None or bare else length
+        cut = "warc-truncated" in headers
+        if values["record_type"] != "revisit" and (self.payload != "skip" or chunked):
+            size = size if chunked else min(size, length)
+            body = source.take(size)
+            payload, whole = unchunked(body) if chunked else (body, size == length)
+            # Some crawlers' digests are of the body as sent, with its chunks.
+            known = not values["payload_digest"] or values["payload_digest"] in (digest(payload), digest(body))
+            if len(body) != size or not (whole or cut) or not known:
                 raise ValueError(f"{values['record_id']}: the payload differs from its length or digest")
             length = len(payload)
+        elif values["record_type"] != "revisit" and cut:
+            length = min(size, length)
         return {"payload_bytes": length, "payload": payload if self.payload == "decode" else None}
 
 

@@ -298,6 +298,38 @@ def test_empty_archive(spark):
     assert spark.read.format("warc").load(path).count() == 0
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_archives_of_other_crawlers(spark, tmp_path, packed):
+    """Without an HTTP Content-Length, and chunked, the payload is what the record's block holds."""
+
+    def made(name, http, body, sha=None, kind="response", more=()):
+        block = "\r\n".join(["HTTP/1.1 " + http[0], *http[1:]]).encode() + b"\r\n\r\n" + body
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", *more]
+        lines += [f"WARC-Payload-Digest: sha1:{warc.digest(sha)}"] if sha is not None else []
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    chunks, te = b"5\r\nhello\r\n6;x=y\r\n world\r\n0\r\n\r\n", "Transfer-Encoding: chunked"
+    data = [
+        made("bare", ["200 OK"], b"to the\r\n\r\nend"),
+        made("bare-sha", ["200 OK"], b"to the end", b"to the end"),
+        made("chunks", ["200 OK", te], chunks),
+        made("chunks-sha", ["200 OK", te], chunks, b"hello world"),
+        made("chunks-sent-sha", ["200 OK", te], chunks, chunks),
+        made("undone", ["200 OK", te], b"<html>plain"),
+        made("told", ["200 OK", "Content-Length: 4"], b"four", b"four"),
+        made("none", ["304 Not Modified", "Content-Length: 9"], b""),
+        made("cut", ["200 OK", "Content-Length: 9"], b"four", more=["WARC-Truncated: length"]),
+        made("again", ["200 OK"], b"", kind="revisit"),
+    ]
+    (tmp_path / ("a.warc.gz" if packed else "a.warc")).write_bytes(b"".join(map(warc.member, data) if packed else data))
+    warc.register(spark)
+    want = {"bare": b"to the\r\n\r\nend", "bare-sha": b"to the end", "chunks": b"hello world", "chunks-sha": b"hello world", "chunks-sent-sha": b"hello world", "undone": b"<html>plain", "told": b"four", "none": b"", "cut": b"four", "again": None}
+    for mode in ("decode", "verify", "skip"):
+        got = {r["record_id"]: r for r in spark.read.format("warc").option("payload", mode).load(str(tmp_path)).collect()}
+        assert {n: r["payload_bytes"] for n, r in got.items()} == {n: None if b is None else len(b) for n, b in want.items()}
+        assert mode != "decode" or {n: r["payload"] and bytes(r["payload"]) for n, r in got.items()} == want
+
+
 # Vectors
 
 
