@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Scratch
+from granary.llm.common import WORD, Scratch
+from granary.llm.components import connected_components
 from granary.llm.linking import BROADCAST_IDS, Linker, pick
 
 TOKENS, TREES, DEPTH = 128, 16, 4
@@ -160,6 +161,11 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     linker = Linker(scratch, fetch, _as_set, percent, near)
     found = linker.components(classes.select("item", "tokens").mapInArrow(_start, "bucket bigint, item bigint"), branch, DEPTH)
     # A document of several classes (rows that share a doc_id) joins them.
+    many = scratch.write(real.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("item")), "many")
+    if not many.isEmpty():
+        items = pick(real.select(F.col("doc_id"), "class"), "doc_id", many).join(classes.select("class", "item"), "class")
+        same = items.groupBy("doc_id").agg(F.min("item").alias("b"), F.collect_set("item").alias("items")).select(F.explode("items").alias("a"), "b")
+        found = connected_components(found.toDF("a", "b").union(same), scratch, "shared")
     heads = classes.join(found, classes["item"] == found["id"], "left").select("class", F.coalesce("component", "item").alias("head"))
     rows = sig.select("doc_id", "n_shingles", "class").join(heads, "class", "left")
     rows = rows.withColumn("component_id", F.coalesce("head", "doc_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
@@ -177,15 +183,16 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: i
     lost = scratch.write(groups.filter("NOT kept").select(F.col("doc_id").alias("item")).distinct(), "lost")
     twice = scratch.write(groups.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("item")), "twice")
     key = df[doc_id].cast("bigint")
+    filled = F.coalesce(F.col(text), F.lit("")).rlike(WORD)
 
     def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        return rows.join(ids, key == ids["item"], "left_anti")
+        return rows.join(ids, (key == ids["item"]) & filled, "left_anti")
 
     kept = without(df, lost)
     if twice.isEmpty():
         return kept
-    return without(kept, twice).unionByName(pick(kept, doc_id, twice).dropDuplicates([doc_id]))
+    return without(kept, twice).unionByName(pick(kept.filter(filled), doc_id, twice).dropDuplicates([doc_id]))
 
 
 def _bits(classes: DataFrame) -> DataFrame:

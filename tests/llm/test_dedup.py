@@ -163,3 +163,13 @@ def test_query_keeps_near_lines_of_ordinary_length(spark, tmp_path):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
     left = {r["doc_id"]: bool(r["text"]) for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
     assert left == {0: True, 1: False, 2: True, 3: False, 4: True}
+
+
+def test_rows_that_share_an_id_are_one_component(spark):
+    """The classes of document 5 have smaller members 1 and 2; its blank rows stay."""
+    texts = {1: "a b c d e f g h", 2: "p q r s t u v w"}
+    rows = [(1, texts[1]), (2, texts[2]), (5, texts[1]), (5, texts[2]), (5, " "), (6, "quite another text than these")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs).filter("n_shingles > 0").collect()}
+    assert got == {(1, 1), (2, 1), (5, 1), (6, 6)}
+    assert sorted(tuple(r) for r in neardup.keep_one(docs).collect()) == [(1, texts[1]), (5, " "), (6, rows[5][1])]
