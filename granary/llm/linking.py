@@ -1,12 +1,13 @@
 """From shared buckets to components of exactly verified links, without all pairs of a bucket.
 
-Items that share a bucket are candidates. Linear work comes first: every item is compared with
-its bucket's smallest item, and verified links are joined to components. Only buckets that
-still hold several components go on: small ones compare all pairs across components; large
-ones without a main component are branched by the caller; those with one, which are alike and
-wouldn't fall apart, and what can't be branched further are compared in blocks, every item outside
-the main component against all. Pairs inside one component can't change the result and are
-never compared.
+Items that share a bucket are candidates; each has a sketch of its minwise hashes, and pairs whose
+sketches can hardly be those of a link are never made. Linear work comes first: every item is compared with two
+pivots of its bucket, its smallest and its largest item (in large buckets also with the first by one of a few
+hashes), and verified links are joined to components. Buckets above ``small`` are branched by the caller, as deep as
+it says. Of buckets that then still hold several components, small ones compare all pairs across
+components. Large ones come together by their main component: items outside it, each once however many buckets it
+shares with it, are compared with all of it in blocks of bounded bytes, and only links leave a block. Pairs
+inside one component can't change the result and are never compared.
 """
 
 from __future__ import annotations
@@ -15,132 +16,182 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Scratch
+from granary.llm.common import Scratch, spread_join
 from granary.llm.components import connected_components
 
 #: Ids up to so many (8 bytes each) are broadcast to pick rows; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: A large bucket with this share of its items in one component is compared in blocks.
-DENSE = 0.25
-#: Items of a block; a pair of blocks is compared by one matrix product.
-BLOCK = 128
+#: Bytes of payloads of a block, and of the outsiders that it is compared with at a time.
+BLOCK, PROBES = 1 << 20, 1 << 18
 #: Elements of a matrix at a time.
-COLUMNS = 16_384
+COLUMNS = 8192
+#: Orders of the third pivot of large buckets; buckets that hold much the same items share orders, and so pairs.
+ORDERS = 8
 
 
-def pick(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows whose ``key`` is in ``ids`` (item), a written table."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def pick(rows: DataFrame, key: str, ids: DataFrame, n: int | None = None) -> DataFrame:
+    """Rows whose ``key`` is in ``ids`` (item), a written table of ``n`` rows, which may repeat."""
+    n = ids.count() if n is None else n
+    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids.distinct()
     return rows.join(ids.withColumnRenamed("item", key), key, "left_semi")
 
 
+def alike(x1, x2, y1, y2) -> Column:
+    """In how many of 128 bits two sketches agree."""
+    return 128 - F.bit_count(x1.bitwiseXOR(y1)) - F.bit_count(x2.bitwiseXOR(y2))
+
+
 class Linker:
-    """``fetch``: of a table of ids (item), a table (item, payload). ``to_set``: of a payload, its sorted distinct uint64 elements.
+    """``fetch``: of a table of ids (item), which may repeat, and its number of rows, a table (item, payload). ``to_set``: of a payload, its sorted
+    distinct uint64 elements. ``links_of``: of two arrays of payloads, which pairs are links: 100 * intersection >= ``percent`` * union.
 
-    A pair is a link if 100 * intersection >= ``percent`` * union. ``near``: drops pairs (a, b)
-    that can hardly be links, from sketches. ``small``: the largest bucket compared exhaustively.
+    An item may have several payloads and sketches; a pair is a link if any of its payloads' pairs is.
+    ``sketch``: a written table (item, x1, x2); pairs whose sketches have fewer than ``agree`` equal bits of
+    128 can hardly be links. ``small``: the largest bucket compared exhaustively.
     """
 
-    def __init__(self, scratch: Scratch, fetch: Callable, to_set: Callable, percent: int, near: Callable | None = None, small: int = 32):
-        self.scratch, self.fetch, self.to_set, self.percent, self.small = scratch, fetch, to_set, percent, small
-        self.near = near or (lambda pairs: pairs)
+    def __init__(self, scratch: Scratch, fetch: Callable, to_set: Callable, links_of: Callable, percent: int, sketch: DataFrame, agree: int, small: int = 32):
+        self.scratch, self.fetch, self.to_set, self.links_of, self.percent = scratch, fetch, to_set, links_of, percent
+        self.sketch, self.agree, self.small = sketch, agree, small
         self.made = 0
 
     def _write(self, df: DataFrame, what: str) -> tuple[DataFrame, str]:
         self.made += 1
         return self.scratch.write(df, f"{what}{self.made}"), f"{what}{self.made}"
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The links among distinct ``pairs`` (a, b), by their whole sets."""
-        pairs, a = self._write(self.near(pairs), "pairs")
-        ids, b = self._write(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "ids")
-        sets, c = self._write(self.fetch(ids), "sets")
-        to_set, percent = self.to_set, self.percent
+    def verified(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Distinct ``pairs`` (a, b), written, and the links among them by their whole payloads; None if there are no pairs."""
+        pairs, _ = self._write(pairs.distinct(), "pairs")
+        n = pairs.count()
+        if not n:
+            return pairs, None
+        sets, c = self._write(self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("item")), 2 * n), "sets")
+        links_of = self.links_of
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, y = batch.column(2), batch.column(3)
-                keep = [linked(to_set(p.as_py()), to_set(q.as_py()), percent) for p, q in zip(x, y, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(links_of(part.column(2), part.column(3)), pa.bool_()))
 
         both = pairs.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b").select("a", "b", "p", "q")
         links, _ = self._write(both.mapInArrow(compare, "a bigint, b bigint"), "links")
-        self.scratch.drop(a, b, c)
-        return links
-
-    def _block_links(self, rest: DataFrame) -> DataFrame:
-        """Links in ``rest`` (bucket, item, n, comp, main) between components: in each bucket, items outside the main component against all."""
-        ids, a = self._write(rest.select("item").distinct(), "ids")
-        whole, b = self._write(rest.join(self.fetch(ids), "item"), "whole")
-        block = F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / BLOCK)).alias("block")
-        cells = F.collect_list(F.struct("item", "comp", "payload"))
-        every = whole.groupBy("bucket", block).agg(cells.alias("x"))
-        probes = whole.filter("comp <> main").groupBy("bucket", block).agg(cells.alias("y"))
-        to_set, percent = self.to_set, self.percent
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found: list[tuple[int, int]] = []
-                for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                    found += block_links(x.as_py(), y.as_py(), to_set, percent)
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-        # Rows are blocks here, so a batch takes few of them.
-        conf, name = rest.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = conf.get(name)
-        conf.set(name, "16")
-        try:
-            links, _ = self._write(every.join(probes, "bucket").select("x", "y").mapInArrow(compare, "a bigint, b bigint"), "links")
-        finally:
-            conf.set(name, before)
-        self.scratch.drop(a, b)
-        return links
+        self.scratch.drop(c)
+        return pairs, links
+
+    def _pair(self, rows: DataFrame, item: Column, other: Column) -> DataFrame:
+        """(a, b) of two columns of structs (item, x1, x2) whose sketches are alike."""
+        ok = (item["item"] != other["item"]) & (alike(item["x1"], item["x2"], other["x1"], other["x2"]) >= self.agree)
+        return rows.filter(ok).select(F.greatest(item["item"], other["item"]).alias("a"), F.least(item["item"], other["item"]).alias("b"))
+
+    def _shared(self, members: DataFrame) -> DataFrame:
+        """Members of buckets of several rows: bucket, n, and m with item and sketch."""
+        counts, a = self._write(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+        rows = spread_join(members, counts, ["bucket"], "n").filter("n IS NOT NULL").join(self.sketch, "item")
+        out, _ = self._write(rows.select("bucket", "n", F.struct("item", "x1", "x2").alias("m")), "shared")
+        self.scratch.drop(a)
+        return out
+
+    def _star_pairs(self, shared: DataFrame) -> DataFrame:
+        """Every member with the pivots of its bucket."""
+        at, m = F.xxhash64("m.item", F.pmod("bucket", F.lit(ORDERS))), F.col("m")
+        firsts = [(F.min_by, m["item"], 0), (F.max_by, m["item"], 0), (F.min_by, at, self.small)]
+        pivots = [F.when(F.first("n") > least, F.struct(*(by(m[x], order).alias(x) for x in ("item", "x1", "x2")))) for by, order, least in firsts]
+        heads, _ = self._write(shared.groupBy("bucket").agg(F.first("n").alias("n"), F.array(*pivots).alias("pivots")), "heads")
+        rows = spread_join(shared.select("bucket", "m"), heads, ["bucket"], "n")
+        return self._pair(rows.select("m", F.explode("pivots").alias("pivot")), F.col("m"), F.col("pivot"))
 
     def components(self, members: DataFrame, branch: Callable | None = None, depth: int = 1) -> DataFrame:
-        """(id, component), for items that aren't their component's smallest, of ``members`` (bucket, item).
+        """(id, component), for items that aren't their component's smallest, of ``members`` (bucket, item), a cheap plan over a written table.
 
         ``branch``: of large buckets' (bucket, item), members of smaller ones; used ``depth`` - 1 times.
         """
-        links: DataFrame | None = None
-        for level in range(depth):
-            members, a = self._write(members, "members")
-            heads = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("item").alias("head")).filter("n > 1")
-            shared, b = self._write(members.join(heads, "bucket"), "shared")
-            self.scratch.drop(a)
-            star = shared.filter("item <> head").select(F.col("item").alias("a"), F.col("head").alias("b")).distinct()
-            new = self.verified(star)
-            links = new if links is None else links.union(new)
-            rest, c = self._mixed(shared, self._components(links))
-            cross = F.expr("flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> y.comp <> x.comp), y -> struct(greatest(x.item, y.item) AS a, least(x.item, y.item) AS b))))")
-            groups = rest.filter(F.col("n") <= self.small).groupBy("bucket").agg(F.collect_list(F.struct("item", "comp")).alias("g"))
-            pairs = groups.select(F.inline(cross)).distinct().join(star, ["a", "b"], "left_anti")
-            links = links.union(self.verified(pairs))
-            self.scratch.drop(b)
-            large = rest.filter(F.col("n") > self.small)
-            go_on = branch and level + 1 < depth
-            dense = large.filter(F.col("main_n") >= DENSE * F.col("n")) if go_on else large
-            if not dense.isEmpty():
-                links = links.union(self._block_links(dense))
-            members = large.filter(F.col("main_n") < DENSE * F.col("n")) if go_on else large.limit(0)
-            if members.isEmpty():
-                self.scratch.drop(c)
+        levels = [self._shared(members)]
+        while branch and len(levels) < depth:
+            large = levels[-1].filter(F.col("n") > self.small)
+            if large.isEmpty():
                 break
-            members = branch(members.select("bucket", "item"))
-        return self._components(links)
+            members, a = self._write(branch(large.select("bucket", F.col("m.item").alias("item"))), "members")
+            levels.append(self._shared(members))
+            self.scratch.drop(a)
+        tried, links = self.verified(self._star_pairs(union(levels)))
+        if links is None:
+            return self._components(tried)
+        found = self._components(links)
+        # Buckets of up to three rows have been compared whole.
+        # Large ones above the last level are compared in their children.
+        leaves = union([s.filter(f"n > 3 AND n <= {self.small}") for s in levels[:-1]] + [levels[-1].filter("n > 3")])
+        rows, a = self._write(self._named(leaves, found), "rows")
+        pairs = self._small_pairs(rows.filter(F.col("n") <= self.small))
+        links = [self.verified(pairs.join(tried, ["a", "b"], "left_anti"))[1], self._crowd_links(rows.filter(F.col("n") > self.small))]
+        links = [x for x in links if x is not None]
+        self.scratch.drop(a)
+        return self._components(union([found.toDF("a", "b"), *links])) if links else found
 
     def _components(self, links: DataFrame) -> DataFrame:
         self.made += 1
         return connected_components(links, self.scratch, f"cc{self.made}")
 
-    def _mixed(self, shared: DataFrame, found: DataFrame) -> tuple[DataFrame, str]:
-        """Members (bucket, item, n, comp, main, main_n) of buckets that hold several components; main: the largest, of main_n items."""
-        rows = shared.join(found.withColumnRenamed("id", "item"), "item", "left").select("bucket", "item", "n", F.coalesce("component", "item").alias("comp"))
-        each = rows.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("count", "comp")).alias("top"))
-        several = each.filter("comps > 1").select("bucket", F.col("top.comp").alias("main"), F.col("top.count").alias("main_n"))
-        return self._write(rows.join(several, "bucket"), "mixed")
+    def _named(self, rows: DataFrame, found: DataFrame) -> DataFrame:
+        """``rows`` (bucket, n, m) with m.comp, the item's component."""
+        named = rows.join(found, F.col("m.item") == F.col("id"), "left")
+        return named.select("bucket", "n", F.col("m").withField("comp", F.coalesce("component", "m.item")).alias("m"))
+
+    def _small_pairs(self, rows: DataFrame) -> DataFrame:
+        """Pairs across components in buckets of bounded size."""
+        of = rows.groupBy("bucket").agg(F.collect_list("m").alias("g"), F.min("m.comp").alias("lo"), F.max("m.comp").alias("hi")).filter("lo <> hi")
+        each = of.select(F.expr("inline(flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> y.comp <> x.comp), y -> struct(x, y)))))").alias("x", "y"))
+        return self._pair(each, F.col("x"), F.col("y"))
+
+    def _crowd_links(self, rows: DataFrame) -> DataFrame | None:
+        """Links in large buckets between items of their main component and others, or two others."""
+        if rows.isEmpty():
+            return None
+        each = rows.groupBy("bucket", F.col("m.comp").alias("comp")).agg(F.count("*").alias("k"))
+        top = F.max(F.struct("k", (-F.col("comp")).alias("least")))
+        main = each.groupBy("bucket").agg(F.sum("k").alias("n"), F.count("*").alias("comps"), (-top["least"]).alias("main")).filter("comps > 1")
+        main, a = self._write(main, "main")
+        crowd = spread_join(rows.select("bucket", "m"), main, ["bucket"], "n").filter("main IS NOT NULL")
+        family, b = self._write(crowd.select("main", "m.item", "m.comp").distinct(), "family")
+        n = family.count()
+        if not n:
+            self.scratch.drop(a, b)
+            return None
+        whole, c = self._write(family.join(self.fetch(family.select("item"), n), "item").select("main", "item", "comp", "payload"), "whole")
+        size, out = F.octet_length("payload").cast("bigint"), F.col("comp") != F.col("main")
+        sizes, d = self._write(whole.groupBy("main").agg(F.count("*").alias("n"), F.ceil(F.sum(size) / BLOCK).alias("blocks"), F.ceil(F.sum(F.when(out, size)) / PROBES).alias("parts")), "sizes")
+
+        def number(n: Column, salt: int) -> Column:
+            return F.pmod(F.xxhash64("item", F.lit(salt)), n)
+
+        def all_of(n: Column) -> Column:
+            return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+
+        whole = spread_join(whole, sizes, ["main"], "n").drop("n").filter("parts > 0 AND blocks > 0")
+        blocks, parts = F.col("blocks"), F.col("parts")
+        every = whole.select("main", number(blocks, 0).alias("block"), all_of(parts).alias("part"), F.lit(False).alias("probe"), "item", "comp", "payload")
+        asked = whole.filter(out).select("main", all_of(blocks).alias("block"), number(parts, 1).alias("part"), F.lit(True).alias("probe"), "item", "comp", "payload")
+        to_set, percent = self.to_set, self.percent
+
+        def compare(table: pa.Table) -> pa.Table:
+            probe = table.column("probe").combine_chunks()
+            found = block_links(table.filter(pc.invert(probe)), table.filter(probe), to_set, percent)
+            return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
+
+        links, _ = self._write(every.union(asked).groupBy("main", "block", "part").applyInArrow(compare, "a bigint, b bigint"), "links")
+        self.scratch.drop(a, b, c, d)
+        return links
+
+
+def union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -157,23 +208,25 @@ def _matrix(sets: list[np.ndarray], elements: np.ndarray) -> np.ndarray:
     """A row of ones and zeros for each set: which of the sorted elements it has."""
     out = np.zeros((len(sets), len(elements)), dtype=np.float32)
     for i, s in enumerate(sets):
+        s = s[np.searchsorted(s, elements[0]) : np.searchsorted(s, elements[-1], "right")]
         at = np.searchsorted(elements, s)
-        at[at == len(elements)] = 0
         out[i, at[elements[at] == s]] = 1
     return out
 
 
-def block_links(xs: list[dict], ys: list[dict], to_set: Callable, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two blocks whose components differ."""
-    a, b = [to_set(c["payload"]) for c in xs], [to_set(c["payload"]) for c in ys]
+def block_links(x: pa.Table, y: pa.Table, to_set: Callable, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two blocks (item, comp, payload) whose components differ."""
+    a, b = ([to_set(p.as_py()) for p in t.column("payload")] for t in (x, y))
+    if not a or not b:
+        return []
     na, nb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
     vocabulary = np.intersect1d(np.concatenate(a), np.concatenate(b))
     common = np.zeros((len(a), len(b)), np.int64)
     for start in range(0, len(vocabulary), COLUMNS):
         some = vocabulary[start : start + COLUMNS]
         common += np.rint(_matrix(a, some) @ _matrix(b, some).T).astype(np.int64)
-    union = na[:, None] + nb[None, :] - common
-    ok = (100 * common >= percent * union) & (na[:, None] > 0) & (nb[None, :] > 0)
+    (xi, xc), (yi, yc) = ([t.column(c).to_numpy() for c in ("item", "comp")] for t in (x, y))
+    ok = (100 * common >= percent * (na[:, None] + nb[None, :] - common)) & (na[:, None] > 0) & (nb[None, :] > 0) & (xc[:, None] != yc[None, :])
     parent: dict[int, int] = {}
 
     def root(v: int) -> int:
@@ -183,8 +236,8 @@ def block_links(xs: list[dict], ys: list[dict], to_set: Callable, percent: int)
 
     out = []
     for i, j in zip(*np.nonzero(ok), strict=True):
-        p, q = xs[i], ys[j]
-        if p["comp"] != q["comp"] and (r := root(p["item"])) != (s := root(q["item"])):
+        p, q = int(xi[i]), int(yi[j])
+        if (r := root(p)) != (s := root(q)):
             parent[r] = s
-            out.append((p["item"], q["item"]))
+            out.append((p, q))
     return out

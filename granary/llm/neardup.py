@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WORD, Scratch
+from granary.llm.common import WORD, Scratch, mix, spread_join
 from granary.llm.components import connected_components
-from granary.llm.linking import BROADCAST_IDS, Linker, pick
+from granary.llm.linking import BROADCAST_IDS, Linker, linked, pick
 
 TOKENS, TREES, DEPTH = 128, 16, 4
 #: Of 128 one-bit hashes; pairs of similarity 0.8 agree in 115 on average, 3.4 being the standard deviation.
@@ -36,13 +36,6 @@ _ROOTS = _rng.integers(0, 2**63, TREES, dtype=np.uint64)
 _PLACE = _rng.integers(0, 2**63, TOKENS, dtype=np.uint64)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer: every bit of the input reaches every bit of the result."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(text: str, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``words`` words; a shorter text is one run; no words, no run."""
     parts = text.encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
@@ -78,35 +71,43 @@ def children(paths: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row, mix(x[row, place] + np.uint64(1)).view(np.int64)
 
 
+def low_bits(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest bit of each of 128 tokens, after mixing, as two longs."""
+    two = np.packbits((mix(tokens.astype(np.uint64)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+    return two[:, 0], two[:, 1]
+
+
 def sketches(df: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
-    """(doc_id, n_shingles, class, tokens): class is a 128-bit digest of the set, tokens its minwise hashes; both null for empty sets."""
-    schema = "doc_id bigint, n_shingles bigint, class binary, tokens binary"
+    """(doc_id, n_shingles, k1, k2, tokens): k1 and k2 are a 128-bit digest of the set, tokens its minwise hashes; all null for empty sets."""
+    schema = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, tokens binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, tokens = [], [], []
+            n, k1, k2, tokens = [], [], [], []
             for t in batch.column(1):
                 s = shingles(t.as_py() or "", words)
+                a, b = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist() if len(s) else (None, None)
                 n.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                k1.append(a)
+                k2.append(b)
                 tokens.append(minwise(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "n_shingles", "class", "tokens"])
+            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, k1, k2)), pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "k1", "k2", "tokens"])
 
     return df.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(run, schema)
 
 
 def _start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, tokens) to (bucket, item) at the first level of all trees."""
+    """(item, tokens) to (item, buckets, x1, x2): the buckets at the first level of all trees, and the sketch."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             t = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, TOKENS)
-            rows, paths = [], []
-            for r in _ROOTS:
-                row, path = children(np.full(len(t), r, np.uint64), t)
-                rows.append(row)
-                paths.append(path)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths)), part.column(0).take(pa.array(np.concatenate(rows)))], ["bucket", "item"])
+            rows, paths = (np.concatenate(x) for x in zip(*(children(np.full(len(t), r, np.uint64), t) for r in _ROOTS), strict=True))
+            order = np.argsort(rows, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(t)))])
+            buckets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(paths[order]))
+            yield pa.RecordBatch.from_arrays([part.column(0), buckets, *map(pa.array, low_bits(t))], ["item", "buckets", "x1", "x2"])
 
 
 def _go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,52 +124,64 @@ def _as_set(payload: bytes) -> np.ndarray:
     return np.frombuffer(payload, np.uint64)
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``df``.
+def _links_of(p: pa.Array, q: pa.Array, percent: int) -> list[bool]:
+    return [linked(*(np.frombuffer(s.as_buffer(), np.uint64) for s in two), percent) for two in zip(p, q, strict=True)]
 
-    component_id: the smallest doc_id reachable through links (100 * intersection >= percent *
-    union, on full sets), itself included; kept: doc_id is that. Null, empty and blank texts
-    have no shingles and link with nothing. Rows that share a doc_id count as one document and
-    get one component; rows of null doc_id link with nothing, have a null component and are
-    kept. An empty table gives an empty result.
-    """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "near")
-    sig = scratch.write(sketches(df, text, doc_id, words), "sketches")
-    real = sig.filter("class IS NOT NULL AND doc_id IS NOT NULL")
-    classes = scratch.write(real.groupBy("class").agg(F.min("doc_id").alias("item"), F.first("tokens").alias("tokens")), "classes")
-    low_bits = _bits(classes)
-    low_bits = scratch.write(low_bits, "bits")
 
-    def near(pairs: DataFrame) -> DataFrame:
-        x, y = low_bits.toDF("a", "x1", "x2"), low_bits.toDF("b", "y1", "y2")
-        same = 128 - F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) - F.bit_count(F.col("x2").bitwiseXOR(F.col("y2")))
-        return pairs.join(x, "a").join(y, "b").filter(same >= AGREE).select("a", "b").distinct()
+def _grouped(df: DataFrame, text: str, doc_id: str, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``df``."""
+    sig = scratch.write(sketches(df, text, doc_id, words), "sketches")
+    real = sig.filter("k1 IS NOT NULL AND doc_id IS NOT NULL")
+    classes = real.groupBy("k1", "k2", "tokens").agg(F.min("doc_id").alias("item"), F.count("*").alias("n"))
+    classes = scratch.write(classes, "classes")
 
-    def fetch(ids: DataFrame) -> DataFrame:
-        rows = pick(df.select(F.col(doc_id).cast("bigint").alias("item"), F.col(text).alias("text")), "item", ids)
+    def fetch(ids: DataFrame, n: int) -> DataFrame:
+        rows = pick(df.select(F.col(doc_id).cast("bigint").alias("item"), F.col(text).alias("text")), "item", ids, n)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sets = pa.array([shingles(t.as_py() or "", words).tobytes() for t in batch.column(1)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["item", "payload"])
 
-        return rows.mapInArrow(run, "item bigint, payload binary").distinct()
+        return rows.mapInArrow(run, "item bigint, payload binary")
 
     def branch(members: DataFrame) -> DataFrame:
-        return members.distinct().join(classes.select("item", "tokens"), "item").select("bucket", "item", "tokens").mapInArrow(_go_on, "bucket bigint, item bigint")
-
-    linker = Linker(scratch, fetch, _as_set, percent, near)
-    found = linker.components(classes.select("item", "tokens").mapInArrow(_start, "bucket bigint, item bigint"), branch, DEPTH)
-    # A document of several classes (rows that share a doc_id) joins them.
-    many = scratch.write(real.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("item")), "many")
-    if not many.isEmpty():
-        items = pick(real.select(F.col("doc_id"), "class"), "doc_id", many).join(classes.select("class", "item"), "class")
-        same = items.groupBy("doc_id").agg(F.min("item").alias("b"), F.collect_set("item").alias("items")).select(F.explode("items").alias("a"), "b")
-        found = connected_components(found.toDF("a", "b").union(same), scratch, "shared")
-    heads = classes.join(found, classes["item"] == found["id"], "left").select("class", F.coalesce("component", "item").alias("head"))
-    rows = sig.select("doc_id", "n_shingles", "class").join(heads, "class", "left")
-    rows = rows.withColumn("component_id", F.coalesce("head", "doc_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+        return members.join(classes.select("item", "tokens"), "item").select("bucket", "item", "tokens").mapInArrow(_go_on, "bucket bigint, item bigint")
+
+    signed = classes.select("item", "tokens").mapInArrow(_start, "item bigint, buckets array<bigint>, x1 bigint, x2 bigint")
+    signed = scratch.write(signed, "signed")
+    linker = Linker(scratch, fetch, _as_set, lambda p, q: _links_of(p, q, percent), percent, signed.select("item", "x1", "x2"), AGREE)
+    found = linker.components(signed.select(F.explode("buckets").alias("bucket"), "item"), branch, DEPTH)
+    # Rows that share a doc_id are one document: it joins its classes, and its rows without words belong to it.
+    per = sig.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count("k1").alias("filled"), F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min_by("k2", "k1").alias("k2"))
+    shared = scratch.write(per.filter("rows > 1 AND (lo <> hi OR filled BETWEEN 1 AND rows - 1)").select(F.col("doc_id").alias("item"), F.col("lo").alias("k1"), "k2"), "shared")
+    n = shared.count()
+    if n:
+        items = pick(real.select("doc_id", "k1", "k2"), "doc_id", shared.select("item"), n).join(classes.select("k1", "k2", "item"), ["k1", "k2"])
+        links = items.select(F.col("doc_id").alias("a"), F.col("item").alias("b"))
+        found = connected_components(found.toDF("a", "b").union(links), scratch, "joined")
+    heads = classes.select("k1", "k2", "n", "item").join(found, classes["item"] == found["id"], "left")
+    heads = scratch.write(heads.select("k1", "k2", "n", F.coalesce("component", "item").alias("head")), "heads")
+    scratch.drop("classes", "signed")
+    rows = spread_join(sig.drop("tokens"), heads, ["k1", "k2"], "n")
+    rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("head", "doc_id")))
+    if n:
+        theirs = shared.join(heads.select("k1", "k2", F.col("head").alias("theirs")), ["k1", "k2"]).select(F.col("item").alias("doc_id"), "theirs")
+        rows = rows.join(theirs, "doc_id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("theirs", "component_id")))
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``df``.
+
+    component_id: the smallest doc_id reachable through links (100 * intersection >= percent *
+    union, on full sets), itself included; kept: doc_id is that. Null, empty and blank texts
+    have no shingles and link with nothing. Rows that share a doc_id count as one document and
+    get one component; rows of null doc_id link with nothing, have a null component and are
+    kept. Texts of any length are compared whole. An empty table gives an empty result; columns
+    other than the two named are not looked at.
+    """
+    rows = _grouped(df, text, doc_id, words, percent, Scratch(df.sparkSession, "near"))
     kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
     return rows.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
@@ -176,35 +189,19 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
     """``df`` with one document of each near-duplicate group, that of the smallest doc_id; one of the rows that share a doc_id.
 
-    Rows of null doc_id and of empty texts all stay.
+    Rows of null doc_id and of texts without words all stay. An empty table stays empty; all columns pass through.
     """
     scratch = Scratch(df.sparkSession, "keep")
-    groups = scratch.write(near_duplicates(df, text, doc_id, words, percent), "groups").filter("doc_id IS NOT NULL")
-    lost = scratch.write(groups.filter("NOT kept").select(F.col("doc_id").alias("item")).distinct(), "lost")
-    twice = scratch.write(groups.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("item")), "twice")
-    key = df[doc_id].cast("bigint")
-    filled = F.coalesce(F.col(text), F.lit("")).rlike(WORD)
-
-    def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        return rows.join(ids, (key == ids["item"]) & filled, "left_anti")
-
-    kept = without(df, lost)
+    rows = _grouped(df, text, doc_id, words, percent, scratch).filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    per = rows.groupBy("doc_id").agg(F.min("component_id").alias("head"), F.count("*").alias("rows")).filter("head <> doc_id OR rows > 1")
+    odd = scratch.write(per.select(F.col("doc_id").alias("item"), (F.col("head") == F.col("doc_id")).alias("kept")), "odd")
+    scratch.drop("sketches", "heads")
+    key, filled = df[doc_id].cast("bigint"), F.coalesce(F.col(text), F.lit("")).rlike(WORD)
+    n, twice = odd.count(), odd.filter("kept")
+    out = df.join(F.broadcast(odd) if n <= BROADCAST_IDS else odd, (key == odd["item"]) & filled, "left_anti")
     if twice.isEmpty():
-        return kept
-    return without(kept, twice).unionByName(pick(kept.filter(filled), doc_id, twice).dropDuplicates([doc_id]))
-
-
-def _bits(classes: DataFrame) -> DataFrame:
-    """(item, x1, x2): the lowest bit of each of 128 tokens, after mixing, as two longs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, TOKENS)
-            two = np.packbits((mix(t.astype(np.uint64)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(two[:, 0]), pa.array(two[:, 1])], ["item", "x1", "x2"])
-
-    return classes.select("item", "tokens").mapInArrow(run, "item bigint, x1 bigint, x2 bigint").dropDuplicates(["item"])
+        return out
+    return out.unionByName(pick(df.filter(filled), doc_id, twice.select("item")).dropDuplicates([doc_id]))
 
 
 def op9_chosen_path(spark, sf_dir: str) -> DataFrame:
