@@ -7,9 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from granary.llm import linededup, linking, neardup
-from granary.llm.common import Scratch
-from granary.llm.components import connected_components
+from granary.llm import components, linededup, linking, neardup
+from granary.llm.common import Scratch, spread_join
+from granary.llm.components import connected_components, forest
 
 
 def roots(nodes, links):
@@ -77,17 +77,84 @@ def test_empty_table(none):
     assert linededup.dedup_lines(none).count() == 0
 
 
-def test_blocks_equal_brute_force(spark):
+def brute_linker(spark, sets, percent, small):
+    """Components of one bucket that holds all sets, without branching; sketches that say nothing."""
+    frame = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "item long, payload binary")
+    sketch = frame.selectExpr("item", "0L AS x1", "0L AS x2")
+    linker = linking.Linker(Scratch(spark, "t"), lambda ids, n: linking.pick(frame, "item", ids, n), neardup._as_set, lambda p, q: neardup._links_of(p, q, percent), percent, sketch, 99, small)
+    got = {r["id"]: r["component"] for r in linker.components(frame.selectExpr("1L AS bucket", "item")).collect()}
+    return {i: got.get(i, i) for i in range(len(sets))}
+
+
+def test_crowds_equal_brute_force(spark, monkeypatch):
     """Past its depth, the linker compares blocks: a bucket of several components, without branching."""
+    monkeypatch.setattr(linking, "BLOCK", 8000)
+    monkeypatch.setattr(linking, "PROBES", 3000)
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(150)]
-    frame = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "item long, payload binary")
-    linker = linking.Linker(Scratch(spark, "t"), lambda ids: linking.pick(frame, "item", ids), neardup._as_set, 60, small=8)
-    members = frame.selectExpr("1L AS bucket", "item")
-    got = {r["id"]: r["component"] for r in linker.components(members).collect()}
     pairs = [(a, b) for a, b in itertools.combinations(range(150), 2) if linking.linked(sets[a], sets[b], 60)]
     want = roots(range(150), pairs)
-    assert {i: got.get(i, i) for i in range(150)} == want and 1 < len(set(want.values())) < 150
+    assert brute_linker(spark, sets, 60, 8) == want and 1 < len(set(want.values())) < 150
+    assert brute_linker(spark, sets, 60, 200) == want
+
+
+def test_two_thousand_near_copies(spark):
+    """A group whose texts lose a random part of one base: many pairs are links, many are not, and some documents link with none."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(w if rng.random() > rate else f"e{rng.integers(1 << 30)}" for w in base) for rate in rng.uniform(0, 0.07, 2000)]
+    texts += ["some other text that is not like those at all"]
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=4).collect()
+    index, sets = {}, []
+    for t in texts:
+        sets.append([index.setdefault(x, len(index)) for x in word_set(t, 4)])
+    common = np.zeros((len(texts), len(texts)), np.int32)
+    m = np.zeros((len(texts), len(index)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, s] = 1
+    common = np.rint(m @ m.T).astype(np.int64)
+    n = np.array([len(s) for s in sets])
+    a, b = np.nonzero(np.triu(100 * common >= 80 * (n[:, None] + n[None, :] - common), 1))
+    want = roots(range(len(texts)), zip(a.tolist(), b.tolist()))
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert 2 < len(set(want.values())) < 1500
+
+
+def test_spread_join_equals_join(spark, tmp_path):
+    """Common, rare, missing and null keys."""
+    rows = [(i, None if i % 50 == 0 else 1 if i % 3 else i % 40, i % 7) for i in range(3000)]
+    named = {}
+    for _, a, b in rows:
+        if a is not None and a != 5:
+            named[a, b] = named.get((a, b), 0) + 1
+    left = spark.createDataFrame(rows, "x long, a long, b long")
+    right = spark.createDataFrame([(a, b, n, f"{a}/{b}") for (a, b), n in named.items()], "a long, b long, n long, name string")
+    for hot, most in ((100, 10), (100, 2), (10**6, 10)):
+        got = sorted(tuple(r) for r in spread_join(left, right, ["a", "b"], "n", hot, most).select("x", "name").collect())
+        assert got == [(x, f"{a}/{b}" if (a, b) in named else None) for x, a, b in rows]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=80), st.integers(0, 3))
+def test_forest(links, order):
+    a, b = (np.array(x, np.int64) for x in zip(*links))
+    u, r = forest(a, b, order)
+    want = roots({x for p in links for x in p}, links)
+    firsts = dict(zip(u.tolist(), r.tolist()))
+    assert set(firsts) == set(want) and all(firsts[firsts[x]] == firsts[x] for x in firsts)
+    assert all((firsts[x] == firsts[y]) == (want[x] == want[y]) for x in want for y in want)
+    if not order:
+        assert firsts == want
+
+
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """A link a chunk, ids in the worst order: rounds with hashed orders end it."""
+    monkeypatch.setattr(components, "CHUNK", 1)
+    monkeypatch.setattr(components, "PLAIN", 1)
+    links = [(i, i + 1) for i in range(40)]
+    frame = spark.createDataFrame(links, "a long, b long").repartition(8)
+    got = {r["id"]: r["component"] for r in connected_components(frame, Scratch(spark, "t")).collect()}
+    assert got == {i: 0 for i in range(1, 41)}
 
 
 def test_components(spark):
@@ -146,7 +213,7 @@ def test_band_recall():
     for _ in range(300):
         a = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 160))
         b = a[:146] + "".join(rng.choice(list("ABCDEFGH"), 14))
-        hits += bool((linededup.bands([a])[0] == linededup.bands([b])[0]).any())
+        hits += bool((linededup.bands([a])[0][0] == linededup.bands([b])[0][0]).any())
     assert hits >= 297
 
 
