@@ -110,20 +110,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def spread_join(rows: DataFrame, named: DataFrame, keys: list[str], count: str, hot: int = 1000, most: int = 10_000) -> DataFrame:
+def spread_join(rows: DataFrame, named: DataFrame, keys: list[str], count: str, by: list[str], hot: int = 1000, most: int = 10_000) -> DataFrame:
     """``rows`` left-joined to ``named``, a written table of unique ``keys`` whose column ``count`` says how many rows hold each.
 
     Rows of a common key would all end in one task. The commonest keys, ``most`` of them at the
     most and each of over ``hot`` rows, are broadcast instead, and their rows and those of null
-    keys are dealt by a hash of all columns. ``keys`` are bigint columns.
+    keys are dealt by a hash of the columns ``by``. ``keys`` are bigint columns.
     """
     values = [c for c in named.columns if c not in keys]
     near, deal = fresh(rows, "near_", "deal_")
     top = named.filter(F.col(count) > hot).orderBy(F.desc(count)).limit(most)
     top = top.select(*keys, F.struct(*values).alias(near))
     found = rows.join(F.broadcast(top), keys, "left")
-    # xxhash64 takes no maps; only columns that it takes are hashed.
-    hashed = F.xxhash64(*(c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind))
+    hashed = F.xxhash64(*by)
     away = F.col(near).isNotNull() | F.col(keys[0]).isNull()
     far = named.select(F.col(keys[0]).alias(deal), *(F.col(k).alias(f"{deal}{i}") for i, k in enumerate(keys[1:])), F.struct(*values).alias(f"{deal}v"))
     on = F.when(away, hashed).otherwise(F.col(keys[0])) == F.col(deal)

@@ -25,6 +25,8 @@ NEAR_SHINGLE = 5
 BANDS, ROWS = 12, 4
 #: Of 128 bits, 32 of them equal in all lines and the others two of each minwise hash: lines of similarity 0.8 agree in 118 on average, 3.5 being the standard deviation.
 AGREE = 102
+#: Lines of a bucket whose pairs are all looked at, by their sketches.
+SMALL = 256
 #: Characters hashed at a time.
 CHUNK = 1 << 19
 
@@ -56,20 +58,25 @@ def line_set(line: str, width: int = SHINGLE) -> np.ndarray:
 
 
 def links_of(p: list[str], q: list[str], width: int, percent: int) -> np.ndarray:
-    """Which pairs of lines have 100 * intersection >= ``percent`` * union of their shingles. All pairs are sorted at once: a shingle's key is of its pair too."""
+    """Which pairs of lines, up to 1024 of them, have 100 * intersection >= ``percent`` * union of their shingles. A shingle's key is its pair and 54 bits of its hash, so all pairs are sorted at once."""
     if not p:
         return np.zeros(0, bool)
-    each = []
-    for lines in (p, q):
+
+    def keys(lines: list[str]) -> np.ndarray:
         h, first = shingle_hashes(lines, width)
-        pair = np.repeat(np.arange(len(p)), np.diff(np.append(first, len(h))))
-        key = mix(h + mix(pair.astype(np.uint64) + np.uint64(1)))
-        key, at = np.unique(key, return_index=True)
-        each.append((key, pair[at]))
-    (x, xp), (y, yp) = each
-    _, at, _ = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    n, nx, ny = (np.bincount(z, minlength=len(p)) for z in (xp[at], xp, yp))
-    return 100 * n >= percent * (nx + ny - n)
+        pair = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(first, len(h))))
+        return distinct(np.sort(h >> np.uint64(10) | pair << np.uint64(54)))
+
+    def distinct(x: np.ndarray) -> np.ndarray:
+        return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+    def count(x: np.ndarray) -> np.ndarray:
+        return np.bincount((x >> np.uint64(54)).astype(np.int64), minlength=len(p))
+
+    x, y = keys(p), keys(q)
+    both = np.sort(np.concatenate([x, y]))
+    n = count(both[1:][both[1:] == both[:-1]])
+    return 100 * n >= percent * (count(x) + count(y) - n)
 
 
 def bands(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +125,9 @@ TIES = 10**8
 
 def _lines(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(doc_id, r1, r2, tie, line_no, line) of every line that isn't blank; (r1, r2) is a digest of the row's doc_id and text."""
-    rows = df.select(F.col(doc_id).alias("doc_id"), *(c.alias(n) for c, n in zip(_row_key(text, doc_id), ("r1", "r2"), strict=True)), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
+    # Once a row: what stands beside a generator is computed for each of its rows.
+    rows = df.select(F.col(doc_id).alias("doc_id"), *(c.alias(n) for c, n in zip(_row_key(text, doc_id), ("r1", "r2"), strict=True)), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("parts"))
+    rows = rows.select("doc_id", "r1", "r2", F.posexplode("parts").alias("line_no", "line"))
     tie = F.pmod("r1", F.lit(TIES))
     return rows.withColumn("line", _trimmed(F.col("line"))).filter("line <> ''").withColumn("tie", tie)
 
@@ -149,13 +158,13 @@ def _grouped(df: DataFrame, text: str, doc_id: str, percent: int, shingle: int,
     def linked(p: pa.Array, q: pa.Array) -> np.ndarray:
         return links_of(p.to_pylist(), q.to_pylist(), shingle, percent)
 
-    linker = Linker(scratch, fetch, lambda line: line_set(line, shingle), linked, percent, signed.select("item", "x1", "x2"), AGREE)
+    linker = Linker(scratch, fetch, lambda line: line_set(line, shingle), linked, percent, signed.select("item", "x1", "x2"), AGREE, small=SMALL)
     found = linker.components(signed.select(F.explode("buckets").alias("bucket"), "item"))
     # Only linked lines need their component's first; a component's own number is one of its lines.
     ids = found.union(found.select("component", "component").distinct())
     heads = ids.join(classes.select(F.col("item").alias("id"), "at"), "id")
     heads = scratch.write(heads.groupBy("component").agg(F.min("at").alias("head"), F.count("*").alias("size")), "first")
-    heads = scratch.write(spread_join(ids, heads, ["component"], "size").select(F.col("id").alias("item"), "head"), "heads")
+    heads = scratch.write(spread_join(ids, heads, ["component"], "size", ["id"]).select(F.col("id").alias("item"), "head"), "heads")
     k1, k2 = _key(F.col("line"))
     named = classes.select(k1.alias("k1"), k2.alias("k2"), "n", "item", "at").join(heads, "item", "left").withColumn("head", F.coalesce("head", "at"))
     digits = F.lpad(F.col("head").cast("string"), 38, "0")
@@ -164,7 +173,7 @@ def _grouped(df: DataFrame, text: str, doc_id: str, percent: int, shingle: int,
     named = scratch.write(named, "named")
     scratch.drop("classes", "signed", "heads", "first")
     k1, k2 = _key(F.col("line"))
-    out = spread_join(lines.select("doc_id", "r1", "r2", "tie", "line_no", k1.alias("k1"), k2.alias("k2")), named, ["k1", "k2"], "n")
+    out = spread_join(lines.select("doc_id", "r1", "r2", "tie", "line_no", k1.alias("k1"), k2.alias("k2")), named, ["k1", "k2"], "n", ["doc_id", "line_no"])
     kept = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")) & (F.col("tie") == F.col("first_tie"))
     return out.select("doc_id", "r1", "r2", "line_no", "k1", "k2", "first_doc_id", "first_line_no", kept.alias("kept"))
 

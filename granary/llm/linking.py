@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import Scratch, spread_join
@@ -29,6 +29,8 @@ BROADCAST_IDS = 1_000_000
 BLOCK, PROBES = 1 << 20, 1 << 18
 #: Elements of a matrix at a time.
 COLUMNS = 8192
+#: One in so many items is looked at for buckets of very many rows; so many such buckets are broadcast, at the most.
+SAMPLED, HOT = 16, 10_000
 #: Orders of the third pivot of large buckets; buckets that hold much the same items share orders, and so pairs.
 ORDERS = 8
 
@@ -83,27 +85,33 @@ class Linker:
         self.scratch.drop(c)
         return pairs, links
 
-    def _pair(self, rows: DataFrame, item: Column, other: Column) -> DataFrame:
-        """(a, b) of two columns of structs (item, x1, x2) whose sketches are alike."""
-        ok = (item["item"] != other["item"]) & (alike(item["x1"], item["x2"], other["x1"], other["x2"]) >= self.agree)
-        return rows.filter(ok).select(F.greatest(item["item"], other["item"]).alias("a"), F.least(item["item"], other["item"]).alias("b"))
-
     def _shared(self, members: DataFrame) -> DataFrame:
-        """Members of buckets of several rows: bucket, n, and m with item and sketch."""
-        counts, a = self._write(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
-        rows = spread_join(members, counts, ["bucket"], "n").filter("n IS NOT NULL").join(self.sketch, "item")
-        out, _ = self._write(rows.select("bucket", "n", F.struct("item", "x1", "x2").alias("m")), "shared")
+        """(bucket, item, n, lo, hi, mid) of buckets of several rows, with their pivots; mid is null in small ones.
+
+        Most buckets hold one row, so members are shuffled once and counted where they arrive. Buckets of very many rows show in
+        a sample of the items; those, ``HOT`` at the most, are counted before any shuffle and their rows not dealt by bucket.
+        """
+        some = members.filter(F.pmod(F.xxhash64("item"), F.lit(SAMPLED)) == 0).groupBy("bucket").agg(F.count("*").alias("k"))
+        hot, a = self._write(some.filter(f"k > {1000 // SAMPLED}").orderBy(F.desc("k"), "bucket").limit(HOT).select("bucket"), "hot")
+        mid = F.min_by("item", F.xxhash64("item", F.pmod("bucket", F.lit(ORDERS))))
+        n, pivots = F.count("*"), {"lo": F.min("item"), "hi": F.max("item"), "mid": mid}
+        own = Window.partitionBy("bucket")
+        few = members.join(F.broadcast(hot), "bucket", "left_anti").withColumn("n", n.over(own)).filter("n > 1")
+        few = few.withColumns({k: c.over(own) for k, c in pivots.items()})
+        many = members.join(F.broadcast(hot), "bucket")
+        many = many.join(F.broadcast(many.groupBy("bucket").agg(n.alias("n"), *(c.alias(k) for k, c in pivots.items()))), "bucket")
+        rows = few.unionByName(many).filter("n > 1").withColumn("mid", F.when(F.col("n") > self.small, F.col("mid")))
+        out, _ = self._write(rows, "shared")
         self.scratch.drop(a)
         return out
 
     def _star_pairs(self, shared: DataFrame) -> DataFrame:
-        """Every member with the pivots of its bucket."""
-        at, m = F.xxhash64("m.item", F.pmod("bucket", F.lit(ORDERS))), F.col("m")
-        firsts = [(F.min_by, m["item"], 0), (F.max_by, m["item"], 0), (F.min_by, at, self.small)]
-        pivots = [F.when(F.first("n") > least, F.struct(*(by(m[x], order).alias(x) for x in ("item", "x1", "x2")))) for by, order, least in firsts]
-        heads, _ = self._write(shared.groupBy("bucket").agg(F.first("n").alias("n"), F.array(*pivots).alias("pivots")), "heads")
-        rows = spread_join(shared.select("bucket", "m"), heads, ["bucket"], "n")
-        return self._pair(rows.select("m", F.explode("pivots").alias("pivot")), F.col("m"), F.col("pivot"))
+        """Distinct alike pairs (a, b) of every member and the pivots of its bucket."""
+        rows = shared.select("item", F.explode(F.array("lo", "hi", "mid")).alias("pivot")).filter("item <> pivot")
+        pairs = rows.select(F.greatest("item", "pivot").alias("a"), F.least("item", "pivot").alias("b")).distinct()
+        x, y = self.sketch.toDF("a", "p1", "p2"), self.sketch.toDF("b", "q1", "q2")
+        both = pairs.join(x, "a").join(y, "b")
+        return both.filter(alike(*(F.col(c) for c in ("p1", "p2", "q1", "q2"))) >= self.agree).select("a", "b")
 
     def components(self, members: DataFrame, branch: Callable | None = None, depth: int = 1) -> DataFrame:
         """(id, component), for items that aren't their component's smallest, of ``members`` (bucket, item), a cheap plan over a written table.
@@ -115,7 +123,7 @@ class Linker:
             large = levels[-1].filter(F.col("n") > self.small)
             if large.isEmpty():
                 break
-            members, a = self._write(branch(large.select("bucket", F.col("m.item").alias("item"))), "members")
+            members, a = self._write(branch(large.select("bucket", "item")), "members")
             levels.append(self._shared(members))
             self.scratch.drop(a)
         tried, links = self.verified(self._star_pairs(union(levels)))
@@ -137,15 +145,16 @@ class Linker:
         return connected_components(links, self.scratch, f"cc{self.made}")
 
     def _named(self, rows: DataFrame, found: DataFrame) -> DataFrame:
-        """``rows`` (bucket, n, m) with m.comp, the item's component."""
-        named = rows.join(found, F.col("m.item") == F.col("id"), "left")
-        return named.select("bucket", "n", F.col("m").withField("comp", F.coalesce("component", "m.item")).alias("m"))
+        """(bucket, n, m) of ``rows`` (bucket, item, n): m has item, its sketch and comp, its component."""
+        named = rows.join(self.sketch.join(found.withColumnRenamed("id", "item"), "item", "left"), "item")
+        return named.select("bucket", "n", F.struct("item", F.coalesce("component", "item").alias("comp"), "x1", "x2").alias("m"))
 
     def _small_pairs(self, rows: DataFrame) -> DataFrame:
         """Pairs across components in buckets of bounded size."""
         of = rows.groupBy("bucket").agg(F.collect_list("m").alias("g"), F.min("m.comp").alias("lo"), F.max("m.comp").alias("hi")).filter("lo <> hi")
-        each = of.select(F.expr("inline(flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> y.comp <> x.comp), y -> struct(x, y)))))").alias("x", "y"))
-        return self._pair(each, F.col("x"), F.col("y"))
+        like = f"y.comp <> x.comp AND 128 - bit_count(y.x1 ^ x.x1) - bit_count(y.x2 ^ x.x2) >= {self.agree}"
+        pair = "struct(greatest(x.item, y.item) AS a, least(x.item, y.item) AS b)"
+        return of.select(F.expr(f"inline(flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> {like}), y -> {pair}))))"))
 
     def _crowd_links(self, rows: DataFrame) -> DataFrame | None:
         """Links in large buckets between items of their main component and others, or two others."""
@@ -155,7 +164,7 @@ class Linker:
         top = F.max(F.struct("k", (-F.col("comp")).alias("least")))
         main = each.groupBy("bucket").agg(F.sum("k").alias("n"), F.count("*").alias("comps"), (-top["least"]).alias("main")).filter("comps > 1")
         main, a = self._write(main, "main")
-        crowd = spread_join(rows.select("bucket", "m"), main, ["bucket"], "n").filter("main IS NOT NULL")
+        crowd = spread_join(rows.select("bucket", "m"), main, ["bucket"], "n", ["m.item"]).filter("main IS NOT NULL")
         family, b = self._write(crowd.select("main", "m.item", "m.comp").distinct(), "family")
         n = family.count()
         if not n:
@@ -171,7 +180,7 @@ class Linker:
         def all_of(n: Column) -> Column:
             return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
 
-        whole = spread_join(whole, sizes, ["main"], "n").drop("n").filter("parts > 0 AND blocks > 0")
+        whole = spread_join(whole, sizes, ["main"], "n", ["item"]).drop("n").filter("parts > 0 AND blocks > 0")
         blocks, parts = F.col("blocks"), F.col("parts")
         every = whole.select("main", number(blocks, 0).alias("block"), all_of(parts).alias("part"), F.lit(False).alias("probe"), "item", "comp", "payload")
         asked = whole.filter(out).select("main", all_of(blocks).alias("block"), number(parts, 1).alias("part"), F.lit(True).alias("probe"), "item", "comp", "payload")

@@ -163,7 +163,7 @@ def _grouped(df: DataFrame, text: str, doc_id: str, words: int, percent: int, sc
     heads = classes.select("k1", "k2", "n", "item").join(found, classes["item"] == found["id"], "left")
     heads = scratch.write(heads.select("k1", "k2", "n", F.coalesce("component", "item").alias("head")), "heads")
     scratch.drop("classes", "signed")
-    rows = spread_join(sig.drop("tokens"), heads, ["k1", "k2"], "n")
+    rows = spread_join(sig.drop("tokens"), heads, ["k1", "k2"], "n", ["doc_id"])
     rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("head", "doc_id")))
     if n:
         theirs = shared.join(heads.select("k1", "k2", F.col("head").alias("theirs")), ["k1", "k2"]).select(F.col("item").alias("doc_id"), "theirs")

@@ -130,7 +130,7 @@ def test_spread_join_equals_join(spark, tmp_path):
     left = spark.createDataFrame(rows, "x long, a long, b long")
     right = spark.createDataFrame([(a, b, n, f"{a}/{b}") for (a, b), n in named.items()], "a long, b long, n long, name string")
     for hot, most in ((100, 10), (100, 2), (10**6, 10)):
-        got = sorted(tuple(r) for r in spread_join(left, right, ["a", "b"], "n", hot, most).select("x", "name").collect())
+        got = sorted(tuple(r) for r in spread_join(left, right, ["a", "b"], "n", ["x"], hot, most).select("x", "name").collect())
         assert got == [(x, f"{a}/{b}" if (a, b) in named else None) for x, a, b in rows]
 
 
