@@ -4,7 +4,8 @@ Each source's documents form one stream of words, cut into blocks of ``block`` w
 say how many blocks a source gives. The driver draws, shard by shard, a multinomial of the
 places left to each source, so that the sum over shards is exact; the last shard takes what is
 left. The k-th place of a source takes block ``perm(k mod n)`` of its n blocks, with a
-keyed permutation for each pass over the source, so that passes use every block once. Places
+keyed permutation for each pass over the source, so that passes use every block once. The last pass takes
+whole blocks and a part of one, so that a source's words are its rounded target. Places
 and blocks are joined by index. DataFrame functions only.
 
 The driver holds one row a source and shards x sources counts; sources must be a category
@@ -25,6 +26,8 @@ from granary.llm.common import WORD, Scratch, fresh, literal_table
 MAX_SOURCES = 100_000
 MAX_SHARDS = 4096
 PLACES_PER_TASK = 250_000
+#: Names of the plan's own columns; callers hand in columns of other names.
+RESERVED = frozenset(("row_", "src_", "name_", "source_size", "target", "sums_", "sum_", "size_", "base_", "at_", "block", "start", "length", "within", "n"))
 #: Rows of one running sum; a source has as many sums as it needs.
 ROWS_PER_SUM = 5_000
 
@@ -88,7 +91,7 @@ def coprime(n: int) -> int:
 
 @dataclass
 class Mix:
-    """rows: the input with row_ (long, unique), size, source_size, target. pieces: row_, src_, block, start, length (words). places: shard, position, src_, pass_, block."""
+    """rows: row_ (long, unique), source_size, target and the input's columns. pieces: row_, src_, block, start, length (words), within (words of the block before it). places: shard, position, src_, pass_, block, cut (words that the place takes of its block, null: all)."""
 
     rows: DataFrame
     pieces: DataFrame
@@ -97,7 +100,7 @@ class Mix:
 
 
 def mix_blocks(df: DataFrame, size: str, source: str, order: list[str], block: int = 128, places_per_shard: int = 65_536, weights=(1, 2, 3), most: float = 3, seed: int = 29) -> Mix:
-    """Plan a mix of the rows of ``df``, whose column ``size`` counts words.
+    """Plan a mix of the rows of ``df``, whose column ``size`` counts words. Other columns than those named are not looked at.
 
     ``order``: columns that order a source's stream; rows equal in all of them are
     interchangeable, so a rerun on the same rows gives the same mix. Sources are taken by code
@@ -106,6 +109,10 @@ def mix_blocks(df: DataFrame, size: str, source: str, order: list[str], block: i
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "mix")
+    df = df.select(*dict.fromkeys([*order, size, source]))
+    taken = sorted(c for c in df.columns if c.lower() in RESERVED)
+    if taken:
+        raise ValueError(f"rename columns {taken}: the plan has columns of these names")
     named = scratch.write(df.withColumn("row_", F.monotonically_increasing_id()), "rows")
     found = named.groupBy(source).agg(F.sum(size).alias("n"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -114,8 +121,7 @@ def mix_blocks(df: DataFrame, size: str, source: str, order: list[str], block: i
     sizes = [int(r["n"] or 0) for r in found]
     want = targets(sizes, weights, most) if sizes else []
     blocks = [-(-s // block) for s in sizes]
-    # Places times the mean block, the last block being short, come to the target.
-    places = [min(int(most * b), round(t * b / s)) if s else 0 for s, t, b in zip(sizes, want, blocks, strict=True)]
+    places = [place_count(s, round(t), block) for s, t in zip(sizes, want, strict=True)]
     src = literal_table(spark, [(i, r[0], s, t, max(1, -(-int(r["rows"]) // ROWS_PER_SUM))) for i, (r, s, t) in enumerate(zip(found, sizes, want, strict=True))], "src_ int, name_ string, source_size bigint, target double, sums_ int")
     rows = named.join(F.broadcast(src), named[source].eqNullSafe(src["name_"])).drop("name_")
     rows = rows.withColumn("sum_", F.pmod(F.xxhash64(*order), F.col("sums_")))
@@ -128,7 +134,7 @@ def mix_blocks(df: DataFrame, size: str, source: str, order: list[str], block: i
     at = at.select("row_", "src_", "size_", (F.col("at_") + F.col("base_")).alias("at_"))
     cut = at.withColumn("block", F.explode(F.expr(f"sequence(at_ div {block}, (at_ + size_ - 1) div {block})")))
     first, last = F.greatest(F.col("block") * block, F.col("at_")), F.least((F.col("block") + 1) * block, F.col("at_") + F.col("size_"))
-    pieces = cut.select("row_", "src_", "block", (first - F.col("at_")).alias("start"), (last - first).alias("length"))
+    pieces = cut.select("row_", "src_", "block", (first - F.col("at_")).alias("start"), (last - first).alias("length"), (first - F.col("block") * block).alias("within"))
 
     total = sum(places)
     shards = min(MAX_SHARDS, max(1, -(-total // places_per_shard)))
@@ -138,21 +144,42 @@ def mix_blocks(df: DataFrame, size: str, source: str, order: list[str], block: i
         before, all_of = 0, int(row.sum())
         for i, c in enumerate(int(x) for x in row):
             if c:
-                runs.append((s, i, taken[i], c, before, all_of, coprime(all_of), blocks[i], coprime(blocks[i])))
+                passes, rest = divmod(round(want[i]), sizes[i])
+                part = blocks[i] if rest > (blocks[i] - 1) * block else blocks[i] - 1
+                runs.append((s, i, taken[i], c, before, all_of, coprime(all_of), blocks[i], coprime(blocks[i]), passes, rest, part, coprime(part)))
                 taken[i], before = taken[i] + c, before + c
-    runs = literal_table(spark, runs, "shard int, src_ int, first bigint, n bigint, before bigint, all_of bigint, stride bigint, blocks bigint, step bigint")
+    runs = literal_table(spark, runs, "shard int, src_ int, first bigint, n bigint, before bigint, all_of bigint, stride bigint, blocks bigint, step bigint, passes bigint, rest bigint, part bigint, part_step bigint")
     wide = max([0, *blocks, *(int(r.sum()) for r in counts)]) >= 2**31
     k = runs.withColumn("from_", F.explode(F.expr("sequence(0L, n - 1, 10000L)"))).repartition(max(1, total // PLACES_PER_TASK), "shard", "src_", "from_").withColumn("k", F.explode(F.expr("sequence(from_, least(n, from_ + 10000) - 1)")))
     nth = F.col("first") + F.col("k")
     i = F.pmod(nth, F.col("blocks"))
     k = k.withColumns({"i_": i, "pass_": ((nth - i) / F.col("blocks")).cast("bigint"), "p_": F.col("before") + F.col("k")})
-    pick = permuted(F.col("i_"), F.col("blocks"), F.col("step"), F.xxhash64("src_", "pass_", F.lit(seed)), wide)
+    # The last pass needs whole blocks only, if it can do without the short one; else it takes all blocks and cuts the short one.
+    last = F.col("pass_") == F.col("passes")
+    k = k.withColumns({"of_": F.when(last, F.col("part")).otherwise(F.col("blocks")), "by_": F.when(last, F.col("part_step")).otherwise(F.col("step"))})
+    pick = permuted(F.col("i_"), F.col("of_"), F.col("by_"), F.xxhash64("src_", "pass_", F.lit(seed)), wide)
     place = permuted(F.col("p_"), F.col("all_of"), F.col("stride"), F.xxhash64("shard", F.lit(seed + 1)), wide)
     # Places grow with the input, but come from a small literal: without a hint they would be broadcast.
-    places = k.select("shard", place.alias("position"), "src_", "pass_", pick.alias("block")).hint("merge")
+    k = k.select("shard", place.alias("position"), "src_", "pass_", pick.alias("block"), "i_", last.alias("last_"), "rest", "part", "blocks")
+    cut_at = F.when(F.col("part") < F.col("blocks"), F.col("i_")).otherwise(F.col("block"))
+    left = F.col("rest") - cut_at * block
+    places = k.select("shard", "position", "src_", "pass_", "block", F.when(F.col("last_") & (left < block), left).alias("cut")).hint("merge")
     return Mix(rows.drop("sum_", "sums_"), pieces, places, scratch)
 
 
+def place_count(size: int, target: int, block: int) -> int:
+    """Blocks, whole or cut, that hold ``target`` words of a source of ``size``: all for each pass over it, then as many as the rest needs."""
+    if not size:
+        return 0
+    passes, rest = divmod(target, size)
+    return passes * -(-size // block) + -(-rest // block)
+
+
+def part_of(length: Column, within: Column, cut: Column) -> Column:
+    """Words that a place takes of a piece of its block."""
+    return F.when(cut.isNull(), length).otherwise(F.greatest(F.least(length, cut - within), F.lit(0)))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -162,7 +189,8 @@ def mix_documents(df: DataFrame, text: str = "text", source: str = "source", doc
 
     A document taken whole keeps its text as it is; else the text is the taken words, with the
     white space that follows each, and a column n_chars, if there, is counted anew. Null, empty
-    and blank texts have no words and are never taken.
+    and blank texts have no words and are never taken; texts of any length are cut only where blocks end. Repeated rows
+    are each a document. Columns pass through whatever their names. An empty table gives an empty one.
     """
     size, key, nth = fresh(df, "size_w", "key_", "nth_")
     some = df.withColumn(size, word_count(F.col(text))).filter(F.col(size) > 0)
@@ -170,15 +198,22 @@ def mix_documents(df: DataFrame, text: str = "text", source: str = "source", doc
     # Rows equal in all three are told apart by their number; which is which makes no difference.
     some = some.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(doc_id)))
     plan = mix_blocks(some.select(F.col(doc_id).alias("doc_"), F.col(source).alias("source_"), F.col(size).alias("words_"), F.col(key).alias("key_"), F.col(nth).alias("nth_")), "words_", "source_", ["doc_", "words_", "key_", "nth_"], **options)
-    times = plan.places.groupBy("src_", "block").agg(F.count("*").alias("times")).hint("merge")
-    taken = plan.pieces.join(times, ["src_", "block"]).groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("start", "length", "times"))).alias("taken_"))
-    taken = taken.join(plan.rows.select("row_", F.col("key_").alias("tk_"), F.col("nth_").alias("tn_")), "row_").drop("row_")
-    out = some.join(taken, (F.col(key) == F.col("tk_")) & (F.col(nth) == F.col("tn_")))
-    out = out.withColumn("pass_", F.explode(F.sequence(F.lit(1).cast("bigint"), F.array_max(F.transform("taken_", lambda p: p["times"])))))
-    out = out.withColumn("taken_", F.filter("taken_", lambda p: p["times"] >= F.col("pass_")))
-    words = F.aggregate("taken_", F.lit(0).cast("bigint"), lambda a, p: a + p["length"])
+    times = plan.places.groupBy("src_", "block").agg(F.count_if(F.col("cut").isNull()).alias("times"), F.max("cut").alias("cut")).hint("merge")
+    # A piece is taken whole in its first passes; in one more, what lies before the cut.
+    both = F.array(
+        F.struct("start", "length", F.lit(1).cast("bigint").alias("first"), F.col("times").alias("last")),
+        F.struct("start", F.when(F.col("cut").isNull(), 0).otherwise(part_of(F.col("length"), F.col("within"), F.col("cut"))).alias("length"), (F.col("times") + 1).alias("first"), (F.col("times") + 1).alias("last")),
+    )
+    pieces = plan.pieces.join(times, ["src_", "block"]).select("row_", F.explode(both).alias("piece")).filter("piece.length > 0 AND piece.last >= piece.first")
+    taken = pieces.groupBy("row_").agg(F.array_sort(F.collect_list("piece")).alias("taken_"))
+    taken = taken.join(plan.rows.select("row_", F.col("key_").alias("tk_"), F.col("nth_").alias("tn_")), "row_").select("tk_", "tn_", "taken_")
+    tk, tn, pass_, parts_ = fresh(some, "tk_", "tn_", "pass_", "taken_")
+    out = some.join(taken.toDF(tk, tn, parts_), (F.col(key) == F.col(tk)) & (F.col(nth) == F.col(tn)))
+    out = out.withColumn(pass_, F.explode(F.sequence(F.lit(1).cast("bigint"), F.array_max(F.transform(parts_, lambda p: p["last"])))))
+    out = out.withColumn(parts_, F.filter(parts_, lambda p: (p["first"] <= F.col(pass_)) & (p["last"] >= F.col(pass_)))).filter(F.size(parts_) > 0)
+    words = F.aggregate(parts_, F.lit(0).cast("bigint"), lambda a, p: a + p["length"])
     parts = F.regexp_extract_all(F.col(text), F.lit(WORD + "[\\x20\\x09-\\x0D]*"), F.lit(0))
-    cut = F.array_join(F.transform("taken_", lambda p: F.array_join(F.slice(parts, (p["start"] + 1).cast("int"), p["length"].cast("int")), "")), "")
+    cut = F.array_join(F.transform(parts_, lambda p: F.array_join(F.slice(parts, (p["start"] + 1).cast("int"), p["length"].cast("int")), "")), "")
     out = out.withColumn(text, F.when(words == F.col(size), F.col(text)).otherwise(cut))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))
@@ -189,6 +224,7 @@ def op6_block_mix(spark, sf_dir: str) -> DataFrame:
     """All documents mixed by source: how many words the mix takes of each, repeats counted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = mix_blocks(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "size", "source", ["doc_id", "size"])
-    taken = plan.pieces.join(plan.places, ["src_", "block"]).groupBy("row_").agg(F.sum("length").alias("taken"))
+    got = part_of(F.col("length"), F.col("within"), F.col("cut"))
+    taken = plan.pieces.join(plan.places, ["src_", "block"]).groupBy("row_").agg(F.sum(got).alias("taken"))
     out = plan.rows.join(taken, "row_", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
