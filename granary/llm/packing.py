@@ -113,7 +113,9 @@ _caches: dict[str, WordCache] = {}
 def cut_pieces(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", limit: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, and ids where asked for.
 
-    A document's ids end with ``end_id``; a null or empty text is that id alone.
+    A document's ids end with ``end_id``; a null or empty text is that id alone. Texts of any
+    length are cut into as many pieces as they need; repeated rows are each a document; an empty table
+    gives no pieces. Other columns are not looked at and not kept.
     """
     schema = f"doc_id {df.schema[doc_id].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     schema += ", ids array<int>" if with_ids else ""
@@ -186,11 +188,11 @@ def pack(pieces: DataFrame, limit: int = 2048, length: str = "length", order: tu
     """``pieces`` with sequence_id (long, gapless from 0) and offset (long): where each lies.
 
     Equal lengths and repeated rows are interchangeable and told apart by their rank; lengths
-    are 1 to ``limit``. An empty table stays empty. Columns named sequence_id or offset are replaced.
+    are 1 to ``limit``. An empty table stays empty. Columns named sequence_id or offset are replaced, all others pass through.
     """
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
-    part, rank = fresh(pieces, "part_", "rank_")
+    part, rank, l_, p_, base, size_, from_, to_, times_, sequence_, offset_ = fresh(pieces, "part_", "rank_", "l_", "p_", "base_", "size_", "from_", "to_", "times_", "sequence_", "offset_")
     scratch = Scratch(spark, "pack")
     pieces = scratch.write(pieces.withColumn(part, F.spark_partition_id()), "pieces")
     # Many pieces share a length where many documents are equal or long: ranks are made of parts.
@@ -205,17 +207,17 @@ def pack(pieces: DataFrame, limit: int = 2048, length: str = "length", order: tu
             begun[size] += n * times
             offset += size * times
         sequence += n
-    table = literal_table(spark, rows, "size_ int, from_ bigint, to_ bigint, times_ bigint, sequence_ bigint, offset_ bigint")
+    table = literal_table(spark, rows, "size_ int, from_ bigint, to_ bigint, times_ bigint, sequence_ bigint, offset_ bigint").toDF(size_, from_, to_, times_, sequence_, offset_)
     up_to = Window.partitionBy(length).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(F.col(length).alias("l_"), F.col(part).alias("p_"), F.coalesce(F.sum("n_").over(up_to), F.lit(0)).alias("base_"))
+    bases = counts.select(F.col(length).alias(l_), F.col(part).alias(p_), F.coalesce(F.sum("n_").over(up_to), F.lit(0)).alias(base))
     ranked = pieces.withColumn(rank, F.row_number().over(Window.partitionBy(length, part).orderBy(*order)) - 1)
-    ranked = ranked.join(bases, (F.col(length) == F.col("l_")) & (F.col(part) == F.col("p_"))).withColumn(rank, F.col(rank) + F.col("base_"))
-    nth = F.col(rank) - F.col("from_")
+    ranked = ranked.join(bases, (F.col(length) == F.col(l_)) & (F.col(part) == F.col(p_))).withColumn(rank, F.col(rank) + F.col(base))
+    nth = F.col(rank) - F.col(from_)
     # The pattern table is bounded by the limit, not by the input.
-    out = ranked.join(F.broadcast(table), (F.col(length) == F.col("size_")) & (F.col(rank) >= F.col("from_")) & (F.col(rank) < F.col("to_")))
-    within = F.pmod(nth, F.col("times_"))
-    sequence_id = F.col("sequence_") + ((nth - within) / F.col("times_")).cast("long")
-    offset = (F.col("offset_") + within * F.col(length)).cast("long")
+    out = ranked.join(F.broadcast(table), (F.col(length) == F.col(size_)) & (F.col(rank) >= F.col(from_)) & (F.col(rank) < F.col(to_)))
+    within = F.pmod(nth, F.col(times_))
+    sequence_id = F.col(sequence_) + ((nth - within) / F.col(times_)).cast("long")
+    offset = (F.col(offset_) + within * F.col(length)).cast("long")
     return out.withColumns({"sequence_id": sequence_id, "offset": offset}).select(*(c for c in pieces.columns if c != part), "sequence_id", "offset")
 
 
