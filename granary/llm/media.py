@@ -124,7 +124,7 @@ def parse_avi(data: bytes) -> Video:
                 name = data[body : body + 4]
                 if name == b"movi":
                     movi = body
-                if name != b"movi" or not _has_index(data):
+                if name != b"movi" or not indexed:
                     walk(body + 4, min(end, body + size))
             elif kind == b"strh" and data[body : body + 4] == b"vids":
                 scale, rate = struct.unpack_from("<II", data, body + 20)
@@ -135,7 +135,9 @@ def parse_avi(data: bytes) -> Video:
                 walked.append((body, body + size))
             at = body + size + size % 2
 
-    walk(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))
+    end = min(len(data), 8 + struct.unpack_from("<I", data, 4)[0])
+    indexed = _has_index(data, end)
+    walk(12, end)
     if index is None or movi is None:
         return Video(fps, walked)
     entries = np.frombuffer(data, np.dtype([("kind", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]), index[1] // 16, index[0])
@@ -145,8 +147,14 @@ def parse_avi(data: bytes) -> Video:
     return Video(fps, [(base + int(a) + 8, base + int(a) + 8 + int(n)) for a, n in zip(entries["at"], entries["size"], strict=True)])
 
 
-def _has_index(data: bytes) -> bool:
-    return data.rfind(b"idx1") > 0
+def _has_index(data: bytes, end: int) -> bool:
+    """Whether one of the file's own chunks is an idx1 chunk; those bytes inside a frame are none."""
+    at = 12
+    while at + 8 <= end:
+        if data[at : at + 4] == b"idx1":
+            return True
+        at += 8 + (size := struct.unpack_from("<I", data, at + 4)[0]) + size % 2
+    return False
 
 
 def read_flat(frames: list[bytes]) -> np.ndarray | None:
