@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
-from granary.llm.common import scratch_path, utf8
+from granary.llm.common import Scratch, scratch_path, spread_join, utf8
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
 _HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
@@ -223,9 +223,7 @@ class WarcReader(DataSourceReader):
         system, root = file_system(self.path)
         found = [system.get_file_info(root)]
         if found[0].type == fs.FileType.Directory:
-            listed = {i.base_name: i for i in system.get_file_info(fs.FileSelector(root))}
-            names = json.loads(system.open_input_file(listed[INDEX].path).read()) if INDEX in listed else sorted(n for n in listed if n.endswith((".warc", ".warc.gz")))
-            found = [listed[n] for n in names]
+            found = system.get_file_info([f"{root}/{n}" for n in archives(system, root)])
         out, size = [], TASK_BYTES
         for i in found:
             if size >= TASK_BYTES:
@@ -305,11 +303,23 @@ class Written(WriterCommitMessage):
     names: list[str]
 
 
+def archives(system: fs.FileSystem, root: str) -> list[str]:
+    """Names of a folder's archives: those in its index, or all where it has none. A folder that isn't there has none."""
+    listed = {i.base_name: i for i in system.get_file_info(fs.FileSelector(root, allow_not_found=True))}
+    if INDEX in listed:
+        return json.loads(system.open_input_file(listed[INDEX].path).read())
+    return sorted(n for n in listed if n.endswith((".warc", ".warc.gz")))
+
+
 class WarcWriter(DataSourceWriter):
-    """Each task writes files of its own name; only files named in the index at the end count, so a lost or repeated task leaves no row twice."""
+    """Each task writes files of its own name; only files named in the index at the end count, so a lost or repeated task leaves no row twice.
+
+    Appending takes the archives that are there into the index, whoever wrote them; overwriting deletes
+    them once the new index stands. Files of this job that don't count are deleted, no others.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = options["path"], overwrite
+        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
         self.date = options.get("date", "1970-01-01T00:00:00Z")
         system, root = file_system(self.path)
         system.create_dir(root, recursive=True)
@@ -319,7 +329,7 @@ class WarcWriter(DataSourceWriter):
         names, file, size = [], None, 0
         for row in iterator:
             if file is None:
-                names.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                names.append(f"part-{self.job}-{uuid.uuid4().hex}.warc.gz")
                 file, size = system.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
             data = member(record(row, self.date))
             file.write(data)
@@ -331,23 +341,26 @@ class WarcWriter(DataSourceWriter):
             file.close()
         return Written(names)
 
+    def _delete(self, names: list[str]) -> None:
+        system, root = file_system(self.path)
+        for name in names:
+            if system.get_file_info(f"{root}/{name}").type == fs.FileType.File:
+                system.delete_file(f"{root}/{name}")
+
+    def _mine(self) -> list[str]:
+        system, root = file_system(self.path)
+        return [i.base_name for i in system.get_file_info(fs.FileSelector(root)) if i.base_name.startswith(f"part-{self.job}-")]
+
     def commit(self, messages: list[Written | None]) -> None:
         system, root = file_system(self.path)
-        before = []
-        if not self.overwrite and system.get_file_info(f"{root}/{INDEX}").type == fs.FileType.File:
-            before = json.loads(system.open_input_file(f"{root}/{INDEX}").read())
-        names = before + sorted(n for m in messages if m for n in m.names)
+        new, mine = sorted(n for m in messages if m for n in m.names), self._mine()
+        before = [n for n in archives(system, root) if n not in set(mine)]
         with system.open_output_stream(f"{root}/{INDEX}", compression=None) as out:
-            out.write(json.dumps(names).encode())
-        for i in system.get_file_info(fs.FileSelector(root)):
-            if i.base_name.endswith(".warc.gz") and i.base_name not in set(names):
-                system.delete_file(i.path)
+            out.write(json.dumps(new if self.overwrite else before + new).encode())
+        self._delete([n for n in mine if n not in set(new)] + (before if self.overwrite else []))
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, root = file_system(self.path)
-        for m in messages:
-            for n in m.names if m else []:
-                system.delete_file(f"{root}/{n}")
+        self._delete(self._mine())
 
 
 class WarcDataSource(DataSource):
@@ -376,14 +389,19 @@ def archive(df: DataFrame, key: str, uri: str, body: str, path: str, least: int
 
     Of rows with equal payloads of at least ``least`` bytes, that with the largest ``key`` is a
     response and others are revisits of it. Rows equal in key and payload are each a response.
-    A null body is empty. A null key counts as smaller than any; where all keys of a payload are null, each row is a response.
+    A null body is empty; payloads of any length are written whole. A null key counts as smaller than any; where all keys of
+    a payload are null, each row is a response. An empty table adds no record. Other columns are not looked at.
     """
-    payload = utf8(F.col(body)).alias("payload")
-    rows = df.select(F.col(key).alias("key"), F.col(uri).cast("string").alias("target_uri"), payload).withColumn("sha", F.unhex(F.sha1("payload")))
-    # Only digests of several rows are joined back; copies are counted map-side.
-    heads = df.select(F.col(key).alias("key"), payload).select("key", F.unhex(F.sha1("payload")).alias("sha"), F.octet_length("payload").alias("n"))
-    heads = heads.filter(F.col("n") >= least).groupBy("sha").agg(F.max("key").alias("head"), F.count("*").alias("rows")).filter("rows > 1 AND head IS NOT NULL").select("sha", "head")
-    rows = rows.join(heads, "sha", "left")
+    rows = df.select(F.col(key).alias("key"), F.col(uri).cast("string").alias("target_uri"), utf8(F.col(body)).alias("payload"))
+    # The first 128 bits of the digest, as two longs.
+    sha = F.sha1("payload")
+    rows = rows.withColumns({"k1": F.conv(F.substring(sha, 1, 16), 16, -10).cast("bigint"), "k2": F.conv(F.substring(sha, 17, 16), 16, -10).cast("bigint")})
+    # Only digests of several rows are joined back; copies are counted map-side, and those of a common payload not dealt by it.
+    heads = rows.filter(F.octet_length("payload") >= least).groupBy("k1", "k2").agg(F.max("key").alias("head"), F.count("*").alias("rows"))
+    scratch = Scratch(df.sparkSession, "heads")
+    heads = scratch.write(heads.filter("rows > 1 AND head IS NOT NULL"), "heads")
+    rows = spread_join(rows, heads, ["k1", "k2"], "rows", ["key", "target_uri"])
+    rows = rows.withColumn("head", F.when(F.octet_length("payload") >= least, F.col("head")))
     revisit = F.col("head").isNotNull() & ~F.col("key").eqNullSafe(F.col("head"))
 
     def name(c: str):
@@ -392,6 +410,7 @@ def archive(df: DataFrame, key: str, uri: str, body: str, path: str, least: int
     out = rows.select(F.when(revisit, "revisit").otherwise("response").alias("record_type"), name("key").alias("record_id"), "target_uri", F.lit(None).cast("string").alias("date"), F.when(revisit, name("head")).alias("refers_to"), "payload")
     register(df.sparkSession)
     out.write.format("warc").mode("append").save(path)
+    scratch.drop("heads")
 
 
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
