@@ -37,6 +37,10 @@ def communication_matrix(counts: np.ndarray, sizes: np.ndarray, seed: int) -> np
     out = np.zeros((len(counts), len(left)), dtype=np.int64)
     for i, c in enumerate(counts):
         total, want = int(left.sum()), int(c)
+        if total < 10**9:
+            out[i] = rng.multivariate_hypergeometric(left, want, method="marginals")
+            left -= out[i]
+            continue
         for j in range(len(left)):
             if not want:
                 break

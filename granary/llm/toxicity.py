@@ -73,11 +73,19 @@ class Model:
 
 
 def fit(texts: list[str], toxic: list[int], o: Options = Options(), seed: int = 5) -> Model:
-    """FTRL-proximal, a pass for each epoch in a random order. No rows: no weights, and a bias that says clean."""
-    size = 1 << o.bits
-    z, n = np.zeros(size), np.zeros(size)
+    """``fit_features`` of whole texts."""
+    return fit_features([np.unique(features(t, o)) for t in texts], toxic, o, seed)
+
+
+def fit_features(rows: list[np.ndarray], toxic: list[int], o: Options = Options(), seed: int = 5) -> Model:
+    """FTRL-proximal on rows of distinct features, a pass for each epoch in a random order. No rows: no weights, and a bias that says clean.
+
+    State is held for the features that occur, not for the whole hash space.
+    """
+    known = np.unique(np.concatenate([np.zeros(0, np.uint32), *rows]))
+    xs = [np.searchsorted(known, r).astype(np.int32) for r in rows]
+    z, n = np.zeros(len(known)), np.zeros(len(known))
     zb = nb = 0.0
-    xs = [np.unique(features(t, o)) for t in texts]
     rng = np.random.default_rng(seed)
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
@@ -95,10 +103,10 @@ def fit(texts: list[str], toxic: list[int], o: Options = Options(), seed: int =
             z[x], n[x] = zi + g - sigma * w, ni + g * g
             zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / o.alpha * wb
             nb += g * g
-    bias = -zb / ((o.beta + nb**0.5) / o.alpha) if texts else -4.0
+    bias = -zb / ((o.beta + nb**0.5) / o.alpha) if rows else -4.0
     w = weights(z, n)
-    index = np.flatnonzero(w)
-    return Model(index.astype(np.uint32), w[index].astype(np.float32), float(bias), o)
+    some = np.flatnonzero(w)
+    return Model(known[some].astype(np.uint32), w[some].astype(np.float32), float(bias), o)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -109,16 +117,27 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Model:
     """Fit on at most ``o.rows`` labelled rows of each label that are not held out.
 
-    Rows with a null doc_id or label are left out; of repeated labels of a doc_id the largest counts.
+    Rows with a null doc_id or label are left out; of repeated labels of a doc_id the largest counts. doc_id is a whole number.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(o.rows) for y in (0, 1)]
     sample = by_hash[0].unionByName(by_hash[1])
-    # 2 * o.rows pairs of numbers at most, so the texts are not shuffled.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toArrow()
-    rows = rows.sort_by("doc_id")
-    return fit([t or "" for t in rows["text"].to_pylist()], rows["toxic"].to_pylist(), o)
+    # 2 * o.rows pairs of numbers at most, so the texts are not shuffled. Of their texts only hashed features come to the driver.
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([np.unique(features(t.as_py() or "", o)).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(2)], ["doc_id", "found", "toxic"])
+
+    rows = rows.select(F.col("doc_id").cast("bigint"), "text", F.col("toxic").cast("int")).mapInArrow(hashed, "doc_id bigint, found binary, toxic int").toArrow()
+    # Of rows that share a doc_id, one counts: the first in the order of their features.
+    rows = rows.sort_by([("doc_id", "ascending"), ("found", "ascending")])
+    ids = rows["doc_id"].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else []
+    rows = rows.take(pa.array(first, pa.int64()))
+    return fit_features([np.frombuffer(b.as_buffer(), np.uint32) for b in rows["found"]], rows["toxic"].to_pylist(), o)
 
 
 _dense: dict[int, np.ndarray] = {}
@@ -127,6 +146,8 @@ _dense: dict[int, np.ndarray] = {}
 def score(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``docs`` with a score (double, 0 to 1) and a prediction (int). A null text scores as an empty one: the bias alone.
 
+    Whole texts are scored, of any length; repeated rows each get their score; an empty table stays empty.
+
     Columns of ``docs`` that have those names are replaced; all others pass through.
     """
     docs = docs.drop(*names)
