@@ -447,3 +447,58 @@ def test_pipeline_stages(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near-dedup", "mixing", "packing"]
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset", "ids"} <= set(out.columns)
+
+
+def test_small_sources_meet_their_targets(spark, tmp_path):
+    """Sources of less than a block, and of a few blocks, give their rounded targets; no document more than three times its words."""
+    rows = [(i, " ".join(["w"] * n), f"s{i % 12:02d}") for i, n in enumerate([13, 61, 50, 39, 7, 90, 128, 129, 300, 1, 64, 5] + [1, 2, 3, 0, 200, 1, 77, 3, 4, 5, 900, 1])]
+    rows += [(99, None, None), (100, "a b", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op6_block_mix(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    source = {r[0]: r[2] for r in rows}
+    for s in set(source.values()):
+        mine = [r for r in got if source[r["doc_id"]] == s]
+        assert sum(r["taken"] for r in mine) == round(mine[0]["target"])
+        assert mine[0]["source_size"] == sum(r["size"] for r in mine)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    words = {r["doc_id"]: r["n"] for r in mixing.mix_documents(docs).groupBy("doc_id").agg({"text": "count"}).toDF("doc_id", "n").collect()}
+    texts = {}
+    for r in mixing.mix_documents(docs).collect():
+        texts[r["doc_id"]] = texts.get(r["doc_id"], 0) + len(r["text"].split())
+    assert texts == {r["doc_id"]: r["taken"] for r in got if r["taken"]} and set(words) == set(texts)
+
+
+def test_clashing_columns(spark, docs):
+    """The operators' own column names, as columns of the input."""
+    names = ["to_", "from_", "size_", "times_", "sequence_", "offset_", "l_", "p_", "base_", "target", "source_size", "name_", "sums_", "key_", "nth_", "tk_", "taken_", "pass_", "size_w"]
+    odd = docs.select("doc_id", "text", "source", "n_chars", *(F.lit(1).alias(n) for n in names))
+    assert mixing.mix_documents(odd).columns == odd.columns and mixing.mix_documents(odd).count() > 0
+    pieces = spark.createDataFrame([(i, 0, 1 + i * 7 % 2048) for i in range(500)], "doc_id long, start long, length long").select("*", *(F.lit(1).alias(n) for n in names))
+    got = packing.pack(pieces)
+    assert got.columns == [*pieces.columns, "sequence_id", "offset"] and got.count() == 500
+
+
+def test_append_keeps_foreign_archives(spark, tmp_path):
+    """A folder that another program wrote, without an index: appending adds to it; overwriting replaces all."""
+    folder = tmp_path / "w"
+    a = spark.createDataFrame([(1, "u1", "one"), (2, "u2", "two")], "page_id long, url string, html string")
+    warc.archive(a, "page_id", "url", "html", str(folder))
+    (folder / warc.INDEX).unlink()
+    foreign = sorted(x.name for x in folder.glob("*.warc.gz"))
+    warc.archive(spark.createDataFrame([(3, "u3", "three")], a.schema), "page_id", "url", "html", str(folder))
+    read = spark.read.format("warc").load(str(folder))
+    assert sorted(bytes(r["payload"]) for r in read.collect()) == [b"one", b"three", b"two"]
+    assert set(foreign) <= {x.name for x in folder.glob("*.warc.gz")}
+    read.limit(0).write.format("warc").mode("overwrite").save(str(folder))
+    assert not list(folder.glob("*.warc.gz")) and spark.read.format("warc").load(str(folder)).count() == 0
+
+
+def test_index_bytes_inside_a_frame():
+    """A file without an index whose frame holds the index's name is walked."""
+    frames = [b"\xff\xd8 idx1 \xff\xd9", b"\xff\xd8 plain \xff\xd9"]
+    whole = media.avi(frames)
+    at = whole.rindex(b"idx1")
+    cut = b"RIFF" + (at - 8).to_bytes(4, "little") + whole[8:at]
+    for data in (whole, cut):
+        assert [data[x:y] for x, y in media.parse_avi(data).frames] == frames
