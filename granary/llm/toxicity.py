@@ -72,18 +72,35 @@ class Model:
         return w
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Sorted features as compressed differences, a few bits each."""
+    return zlib.compress(np.diff(x, prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
+
+
+def spread(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4"), dtype=np.uint32)
+
+
 def fit(texts: list[str], toxic: list[int], o: Options = Options(), seed: int = 5) -> Model:
     """``fit_features`` of whole texts."""
-    return fit_features([np.unique(features(t, o)) for t in texts], toxic, o, seed)
+    return fit_features([squeezed(np.unique(features(t, o))) for t in texts], toxic, o, seed)
 
 
-def fit_features(rows: list[np.ndarray], toxic: list[int], o: Options = Options(), seed: int = 5) -> Model:
-    """FTRL-proximal on rows of distinct features, a pass for each epoch in a random order. No rows: no weights, and a bias that says clean.
+def fit_features(rows: list[bytes], toxic: list[int], o: Options = Options(), seed: int = 5) -> Model:
+    """FTRL-proximal on rows of ``squeezed`` distinct features, a pass for each epoch in a random order. No rows: no weights, and a bias that says clean.
 
-    State is held for the features that occur, not for the whole hash space.
+    A gradient is under 1, so a feature of at most l1 / epochs rows never passes the L1 bound: its weight
+    is 0 all along, and it is left out. State is held for the others, not for the whole hash space.
     """
-    known = np.unique(np.concatenate([np.zeros(0, np.uint32), *rows]))
-    xs = [np.searchsorted(known, r).astype(np.int32) for r in rows]
+    count = np.zeros(1 << o.bits, np.int32)
+    for r in rows:
+        count[spread(r)] += 1
+    known = np.flatnonzero(count > int(o.l1 / o.epochs))
+    place = np.full(1 << o.bits, -1, np.int32)
+    place[known] = np.arange(len(known), dtype=np.int32)
+    del count
+    xs = [(x := place[spread(r)])[x >= 0] for r in rows]
+    del place
     z, n = np.zeros(len(known)), np.zeros(len(known))
     zb = nb = 0.0
     rng = np.random.default_rng(seed)
@@ -128,16 +145,19 @@ def learn(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Model:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([np.unique(features(t.as_py() or "", o)).tobytes() for t in batch.column(1)], pa.binary())
+            found = pa.array([squeezed(np.unique(features(t.as_py() or "", o))) for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(2)], ["doc_id", "found", "toxic"])
 
     rows = rows.select(F.col("doc_id").cast("bigint"), "text", F.col("toxic").cast("int")).mapInArrow(hashed, "doc_id bigint, found binary, toxic int").toArrow()
-    # Of rows that share a doc_id, one counts: the first in the order of their features.
-    rows = rows.sort_by([("doc_id", "ascending"), ("found", "ascending")])
-    ids = rows["doc_id"].to_numpy()
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else []
-    rows = rows.take(pa.array(first, pa.int64()))
-    return fit_features([np.frombuffer(b.as_buffer(), np.uint32) for b in rows["found"]], rows["toxic"].to_pylist(), o)
+    found, toxic = rows["found"].to_pylist(), rows["toxic"].to_pylist()
+    # Of rows that share a doc_id, one counts: the least by its features.
+    least: dict[int, int] = {}
+    for i, d in enumerate(rows["doc_id"].to_pylist()):
+        if d not in least or found[i] < found[least[d]]:
+            least[d] = i
+    del rows
+    order = [least[d] for d in sorted(least)]
+    return fit_features([found[i] for i in order], [toxic[i] for i in order], o)
 
 
 _dense: dict[int, np.ndarray] = {}
