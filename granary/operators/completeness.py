@@ -75,8 +75,10 @@ def completeness_metrics(counts: DataFrame, dataset: str) -> DataFrame:
     return columns.unionByName(unfold(dataset_completeness(counts), whole, dataset_scope(dataset)))
 
 
-def schema_rows(counts: DataFrame, dataset: str) -> DataFrame:
-    """(key, value, scope): a row for each column, by name, and one for the dataset."""
-    columns = counts.filter("column IS NOT NULL").orderBy("column").select(F.lit("column").alias("key"), F.col("column").alias("value"), column_scope(F.col("column"), dataset).alias("scope"))
-    whole = counts.sparkSession.range(1).select(F.lit("dataset").alias("key"), F.lit(dataset).alias("value"), dataset_scope(dataset).alias("scope"))
+def schema_rows(df: DataFrame, dataset: str) -> DataFrame:
+    """(key, value, scope): a row for each column, by name, and one for the dataset. No row of ``df`` is read."""
+    one = df.sparkSession.range(1)
+    names = F.array(*(F.lit(n) for n in sorted(df.columns))) if df.columns else F.array().cast("array<string>")
+    columns = one.select(F.explode(names).alias("value")).select(F.lit("column").alias("key"), "value", column_scope(F.col("value"), dataset).alias("scope"))
+    whole = one.select(F.lit("dataset").alias("key"), F.lit(dataset).alias("value"), dataset_scope(dataset).alias("scope"))
     return columns.unionByName(whole)

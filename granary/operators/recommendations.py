@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _PART = re.compile(r"([^/\\]+)_part_\d+\.(?:parquet|pq)$", re.I)
@@ -20,9 +20,9 @@ def rescope(recs: DataFrame, root: str) -> DataFrame:
 
 
 def first_of_each(recs: DataFrame, order: str) -> DataFrame:
-    """Of rows equal in content, type and scope value, the first by ``order``; in that order."""
-    same = Window.partitionBy("content", "type", F.col("scope.value")).orderBy(order)
-    return recs.withColumn("nth_", F.row_number().over(same)).filter("nth_ = 1").drop("nth_").orderBy(order)
+    """Of rows equal in content, type and scope value, the first by ``order``; in that order. Firsts are found before the shuffle."""
+    first = F.min_by(F.struct(*recs.columns), F.col(order)).alias("first")
+    return recs.groupBy("content", "type", F.col("scope.value").alias("of")).agg(first).select("first.*").orderBy(order)
 
 
 def one_dataset(items: Iterable[str], names: Iterable[str] | None, dataset: str) -> bool:

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.plans.sinks import save_json, write_parts
+from granary.plans.types import normalise
 from granary.sources.registry import load
 
 
@@ -43,12 +44,12 @@ class Check:
         return load(self.spark, getattr(self, trigger), what if what is not None else job.get("table_or_query"), job)
 
     def materialise(self, trigger: str = "source", what=None, ordered: bool = True) -> list[str]:
-        """Load and write bounded Parquet parts under stable names; their paths."""
+        """Load, bring types to those of Parquet (``normalise``) and write bounded parts under stable names; their paths."""
         job, conf = self.job(), getattr(self, trigger)
         out = []
         for name, df in self.load(trigger, what).items():
             item = os.path.splitext(os.path.basename(conf["config"].get("path", name)))[0] if name == "file" else name
-            out += write_parts(df, job.get("parquet_output_dir", "./parquet"), "file" if name == "file" else conf["type"], item, int(job.get("chunk_rows", 100_000)), ordered)
+            out += write_parts(normalise(df), job.get("parquet_output_dir", "./parquet"), "file" if name == "file" else conf["type"], item, int(job.get("chunk_rows", 100_000)), ordered)
         return out
 
     def add(self, kind: str, rows: DataFrame) -> None:

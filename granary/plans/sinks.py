@@ -8,10 +8,11 @@ import os
 from datetime import date, datetime, time, timedelta
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import slug
+from granary.plans.scratch import written
 
 
 def base_name(source: str, item: str) -> str:
@@ -22,26 +23,49 @@ def part_path(folder: str, base: str, k: int) -> str:
     return f"{folder.rstrip('/')}/{base}_part_{k}.parquet"
 
 
+#: Rows of a partition are numbered in this many bits of monotonically_increasing_id.
+_BITS = 33
+
+
 def write_parts(df: DataFrame, folder: str, source: str, item: str, rows: int = 100_000, ordered: bool = True) -> list[str]:
     """Write parts of at most ``rows`` rows named source_item_part_k, k from 1; older parts of that name go. Returns the paths.
 
-    ``ordered``: parts are full but for the last and keep the input's order, which one task
-    writes; otherwise tasks write at once and each may leave a smaller part.
+    ``ordered``: parts are full but for the last and keep the input's order; rows are written once with their
+    place, and many tasks then write a part each. Otherwise tasks write at once and each may leave a smaller
+    part. Older parts stay until all new rows are staged.
     """
     spark = df.sparkSession
     base = base_name(source, item)
     jvm = spark._jvm
     staged = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_{base}_staged")
     fs = staged.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = df.coalesce(1) if ordered else df
-    out.write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(staged.toString())
-    old = fs.globStatus(jvm.org.apache.hadoop.fs.Path(part_path(folder, base, 0).replace("_part_0.", "_part_*.")))
-    for f in old or ():
-        fs.delete(f.getPath(), False)
-    names = sorted(f.getPath().toString() for f in fs.listStatus(staged) if f.getPath().getName().endswith(".parquet"))
+    if ordered:
+        part, at = "granary_part", "granary_at"
+        placed = written(df.withColumn(at, F.monotonically_increasing_id()), "placed")
+        pid = F.shiftright(at, _BITS)
+        counts = placed.groupBy(pid.alias("pid_")).agg(F.count("*").alias("n_"))
+        before = counts.select("pid_", F.coalesce(F.sum("n_").over(Window.orderBy("pid_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+        nth = F.col("before_") + F.col(at).bitwiseAND((1 << _BITS) - 1)
+        numbered_ = placed.join(F.broadcast(before), pid == F.col("pid_")).withColumn(part, (F.floor(nth / rows) + 1).cast("bigint")).drop("pid_", "before_")
+        out = numbered_.repartition(part).sortWithinPartitions(part, at).drop(at)
+        out.write.mode("overwrite").partitionBy(part).parquet(staged.toString())
+        names = [(int(f.getPath().getName().split("=")[1]), x.getPath().toString()) for f in fs.listStatus(staged) if f.isDirectory() for x in fs.listStatus(f.getPath()) if x.getPath().getName().endswith(".parquet")]
+        names = [n for _, n in sorted(names)]
+        if not names:  # an empty table is one empty part
+            df.limit(0).coalesce(1).write.mode("overwrite").parquet(staged.toString())
+    else:
+        df.write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(staged.toString())
+        names = []
+    names = names or sorted(f.getPath().toString() for f in fs.listStatus(staged) if f.getPath().getName().endswith(".parquet"))
     paths = [part_path(folder, base, k) for k in range(1, len(names) + 1)]
+    old = {f.getPath().getName(): f.getPath() for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(part_path(folder, base, 0).replace("_part_0.", "_part_*."))) or ()}
     for a, b in zip(names, paths, strict=True):
-        fs.rename(jvm.org.apache.hadoop.fs.Path(a), jvm.org.apache.hadoop.fs.Path(b))
+        target = jvm.org.apache.hadoop.fs.Path(b)
+        if old.pop(target.getName(), None):
+            fs.delete(target, False)
+        fs.rename(jvm.org.apache.hadoop.fs.Path(a), target)
+    for path in old.values():
+        fs.delete(path, False)
     fs.delete(staged, True)
     return paths
 
@@ -49,13 +73,11 @@ def write_parts(df: DataFrame, folder: str, source: str, item: str, rows: int =
 def numbered(df: DataFrame, order: list[str], rows: int) -> DataFrame:
     """``df`` with part: the part, from 1, that each row would be in by ``order``.
 
-    Ranks come from counts of range partitions, so that no task sees all rows.
+    Rows are written once with the number of their range; ranks come from counts of ranges, so that no task
+    sees all rows.
     """
-    from pyspark.sql import Window
-
-    # A given number of partitions is never merged at run time, so both uses below see the same ones.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("pid_", F.spark_partition_id())
+    ranged = written(df.repartitionByRange(n, *order).withColumn("pid_", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("pid_").count()
     before = counts.select("pid_", F.coalesce(F.sum("count").over(Window.orderBy("pid_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
     nth = F.row_number().over(Window.partitionBy("pid_").orderBy(*order)) - 1 + F.col("before_")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from granary.functions import scalars as s
 from granary.operators import completeness as comp
@@ -15,7 +15,10 @@ from granary.operators import outliers as outl
 from granary.operators import recommendations as recs
 from granary.operators import timeliness as tim
 from granary.operators.records import column_scope, dataset_scope
-from granary.plans.sinks import numbered
+from granary.plans.scratch import folder
+from granary.plans.session import Check
+from granary.plans.sinks import numbered, save_json, write_parts
+from granary.sources.registry import load
 
 AS_OF = datetime(2026, 1, 1, 12)
 NOW = "TIMESTAMP '2026-01-01 12:00:00'"
@@ -67,20 +70,30 @@ SELECT col AS "column", CAST(sum(present) AS BIGINT) AS present, CAST(sum(rows)
 
 
 def flat(metrics: DataFrame) -> DataFrame:
-    return metrics.select("key", "value_num", F.col("scope.perimeter").alias("perimeter"), F.col("scope.value").alias("name"), F.col("scope.parent_scope.value").alias("parent"))
+    return metrics.select("key", "value", "value_num", "value_type", F.col("scope.perimeter").alias("perimeter"), F.col("scope.value").alias("name"), F.col("scope.parent_scope.value").alias("parent"))
 
 
 def completeness_rows(spark, sf_dir):
     return flat(comp.completeness_metrics(comp.merge_counts(comp.partial_counts(events_with_gaps(spark, sf_dir))), "events"))
 
 
+def sql_text(x: str) -> str:
+    """A double as text, with at least one decimal, in SQL."""
+    return f"regexp_replace(printf('%.6f', {x}), '(\\.\\d+?)0+$', '\\1')"
+
+
+#: As Spark writes a small double.
+def sql_double(x: str) -> str:
+    return f"CASE WHEN {x} = 0 THEN '0.0' WHEN abs({x}) < 0.001 THEN regexp_replace(printf('%.5e', {x}), '(\\.\\d+?)0*e-0?', '\\1E-') ELSE {sql_text(x)} END"
+
+
 SQL_COMPLETENESS_ROWS = f"""
-SELECT 'completeness_score' AS key, ratio AS value_num, 'column' AS perimeter, "column" AS name, 'events' AS parent FROM ({SQL_COMPLETENESS_COLUMNS})
-UNION ALL SELECT unnest(['n', 'n_var', 'n_cells_missing', 'p_cells_missing', 'score']), unnest([n::DOUBLE, n_var::DOUBLE, n_cells_missing::DOUBLE, p_cells_missing, score]), 'dataset', 'events', NULL FROM ({SQL_COMPLETENESS_DATASET})"""
+SELECT 'completeness_score' AS key, {sql_text("ratio")} AS value, ratio AS value_num, 'text' AS value_type, 'column' AS perimeter, "column" AS name, 'events' AS parent FROM ({SQL_COMPLETENESS_COLUMNS})
+UNION ALL SELECT unnest(['n', 'n_var', 'n_cells_missing', 'p_cells_missing', 'score']), unnest([n::VARCHAR, n_var::VARCHAR, n_cells_missing::VARCHAR, {sql_double("p_cells_missing")}, {sql_text("score")}]), unnest([n::DOUBLE, n_var::DOUBLE, n_cells_missing::DOUBLE, p_cells_missing, score]), unnest(['int', 'int', 'int', 'float', 'text']), 'dataset', 'events', NULL FROM ({SQL_COMPLETENESS_DATASET})"""
 
 
 def schema_rows(spark, sf_dir):
-    rows = comp.schema_rows(comp.merge_counts(comp.partial_counts(table(spark, sf_dir, "lineitem"))), "lineitem")
+    rows = comp.schema_rows(table(spark, sf_dir, "lineitem"), "lineitem")
     return rows.select("key", "value", F.col("scope.perimeter").alias("perimeter"), F.col("scope.parent_scope.value").alias("parent"))
 
 
@@ -121,7 +134,7 @@ def duplicates_rows(spark, sf_dir):
     return flat(dup.duplicate_metrics(_lineitem_keys(spark, sf_dir), "lineitem"))
 
 
-SQL_DUPLICATES_ROWS = f"SELECT unnest(['score', 'duplicates']) AS key, unnest([score, duplicates::DOUBLE]) AS value_num, 'dataset' AS perimeter, 'lineitem' AS name, CAST(NULL AS VARCHAR) AS parent FROM ({SQL_DUPLICATES_SCORE})"
+SQL_DUPLICATES_ROWS = f"SELECT unnest(['score', 'duplicates']) AS key, unnest([{sql_text('score')}, duplicates::VARCHAR]) AS value, unnest([score, duplicates::DOUBLE]) AS value_num, unnest(['text', 'int']) AS value_type, 'dataset' AS perimeter, 'lineitem' AS name, CAST(NULL AS VARCHAR) AS parent FROM ({SQL_DUPLICATES_SCORE})"
 
 
 def _nation_partials(spark, sf_dir):
@@ -148,21 +161,21 @@ def outlier_rows(spark, sf_dir):
 
 SQL_OUTLIER_ROWS = f"""
 WITH m AS ({SQL_OUTLIER_MERGE}), w AS (SELECT round(normality, 2) AS normality, outliers, (SELECT CAST(sum(outliers) AS BIGINT) FROM m WHERE "column" IS NOT NULL) AS total FROM m WHERE "column" IS NULL)
-SELECT unnest(['normality_score', 'outliers']) AS key, unnest([round(normality, 2), outliers::DOUBLE]) AS value_num, 'column' AS perimeter, "column" AS name, 'customer' AS parent FROM m WHERE "column" IS NOT NULL
-UNION ALL SELECT unnest(['outliers', 'normality_score_dataset', 'score', 'total_outliers_count']), unnest([outliers::DOUBLE, normality, normality, total::DOUBLE]), 'dataset', 'customer', NULL FROM w"""
+SELECT unnest(['normality_score', 'outliers']) AS key, unnest([{sql_double("round(normality, 2)")}, outliers::VARCHAR]) AS value, unnest([round(normality, 2), outliers::DOUBLE]) AS value_num, unnest(['float', 'int']) AS value_type, 'column' AS perimeter, "column" AS name, 'customer' AS parent FROM m WHERE "column" IS NOT NULL
+UNION ALL SELECT unnest(['outliers', 'normality_score_dataset', 'score', 'total_outliers_count']), unnest([outliers::VARCHAR, {sql_double("normality")}, {sql_text("normality")}, total::VARCHAR]), unnest([outliers::DOUBLE, normality, normality, total::DOUBLE]), unnest(['int', 'float', 'text', 'int']), 'dataset', 'customer', NULL FROM w"""
 
 
 def outlier_advice(spark, sf_dir):
     rows = outl.outlier_advice(outl.merge_stats(_nation_partials(spark, sf_dir)), "customer", 0.95)
-    return rows.select(F.col("scope.perimeter").alias("perimeter"), F.col("scope.value").alias("name"), "type", "level")
+    return rows.select("content", F.col("scope.perimeter").alias("perimeter"), F.col("scope.value").alias("name"), "type", "level")
 
 
 SQL_OUTLIER_ADVICE = f"""
 WITH m AS ({SQL_OUTLIER_MERGE}), c AS (SELECT "column" AS col, round(normality, 2) AS x, outliers, rows FROM m)
-SELECT 'column' AS perimeter, col AS name, 'Outliers' AS type, CASE WHEN 1 - x > 0.5 THEN 'high' WHEN 1 - x > 0.3 THEN 'warning' ELSE 'info' END AS level FROM c WHERE col IS NOT NULL AND x < 0.95
-UNION ALL SELECT 'dataset', 'customer', 'Outliers', CASE WHEN 1 - x > 0.5 THEN 'high' WHEN 1 - x > 0.3 THEN 'warning' ELSE 'info' END FROM c WHERE col IS NULL AND x < 0.95
-UNION ALL SELECT 'dataset', 'customer', 'Outliers', CASE WHEN t > 0.5 THEN 'high' WHEN t > 0.3 THEN 'warning' ELSE 'info' END
-FROM (SELECT (SELECT sum(outliers) FROM c WHERE col IS NOT NULL) / (SELECT rows FROM c WHERE col IS NULL) AS t)"""
+SELECT 'Normality of column ''' || col || ''' is ' || {sql_text("round(x * 100, 2)")} || '%, below the threshold.' AS content, 'column' AS perimeter, col AS name, 'Outliers' AS type, CASE WHEN 1 - x > 0.5 THEN 'high' WHEN 1 - x > 0.3 THEN 'warning' ELSE 'info' END AS level FROM c WHERE col IS NOT NULL AND x < 0.95
+UNION ALL SELECT 'Normality of dataset ''customer'' is ' || {sql_text("round(x * 100, 2)")} || '%, below the threshold.', 'dataset', 'customer', 'Outliers', CASE WHEN 1 - x > 0.5 THEN 'high' WHEN 1 - x > 0.3 THEN 'warning' ELSE 'info' END FROM c WHERE col IS NULL AND x < 0.95
+UNION ALL SELECT 'Outliers found in dataset ''customer'': ' || o::VARCHAR || '.', 'dataset', 'customer', 'Outliers', CASE WHEN t > 0.5 THEN 'high' WHEN t > 0.3 THEN 'warning' ELSE 'info' END
+FROM (SELECT (SELECT CAST(sum(outliers) AS BIGINT) FROM c WHERE col IS NOT NULL) AS o, (SELECT sum(outliers) FROM c WHERE col IS NOT NULL) / (SELECT rows FROM c WHERE col IS NULL) AS t)"""
 
 
 def outlier_zscore(spark, sf_dir):
@@ -212,14 +225,14 @@ SQL_TIMELINESS_AGES = f'SELECT col AS "column", kind, days_earliest, days_latest
 
 def timeliness_rows(spark, sf_dir):
     rows = tim.timeliness_metrics(_ages(spark, sf_dir), "sales", ["ts", "o_orderdate"])
-    return rows.select("key", "value", F.col("scope.perimeter").alias("perimeter"), F.col("scope.value").alias("name")).withColumn("value", F.when(F.col("key").isin("timeliness_score", "score"), F.lit("")).otherwise(F.col("value")))
+    return rows.select("key", "value", F.col("scope.perimeter").alias("perimeter"), F.col("scope.value").alias("name"))
 
 
 SQL_TIMELINESS_ROWS = f"""
 WITH a AS ({_AGES})
-SELECT unnest(['earliest_year', 'latest_year', 'days_since_earliest_year', 'days_since_latest_year', 'timeliness_score']) AS key, unnest([year(lo)::VARCHAR, year(hi)::VARCHAR, days_earliest::VARCHAR, days_latest::VARCHAR, '']) AS value, 'column' AS perimeter, col AS name FROM a WHERE kind = 'year'
-UNION ALL SELECT unnest(['earliest_date', 'latest_date', 'days_since_earliest_date', 'days_since_latest_date', 'timeliness_score']), unnest([strftime(lo, '%Y-%m-%d'), strftime(hi, '%Y-%m-%d'), days_earliest::VARCHAR, days_latest::VARCHAR, '']), 'column', col FROM a WHERE kind = 'date'
-UNION ALL SELECT 'score', '', 'dataset', 'sales'"""
+SELECT unnest(['earliest_year', 'latest_year', 'days_since_earliest_year', 'days_since_latest_year', 'timeliness_score']) AS key, unnest([year(lo)::VARCHAR, year(hi)::VARCHAR, days_earliest::VARCHAR, days_latest::VARCHAR, {sql_text("round(score, 2)")}]) AS value, 'column' AS perimeter, col AS name FROM a WHERE kind = 'year'
+UNION ALL SELECT unnest(['earliest_date', 'latest_date', 'days_since_earliest_date', 'days_since_latest_date', 'timeliness_score']), unnest([strftime(lo, '%Y-%m-%d'), strftime(hi, '%Y-%m-%d'), days_earliest::VARCHAR, days_latest::VARCHAR, {sql_text("round(score, 2)")}]), 'column', col FROM a WHERE kind = 'date'
+UNION ALL SELECT 'score', {sql_text("round(avg(score), 2)")}, 'dataset', 'sales' FROM a WHERE col IN ('ts', 'o_orderdate')"""
 
 
 def timeliness_score(spark, sf_dir):
@@ -234,10 +247,10 @@ SELECT 'timeliness_score' AS key, col AS name, round(score, 2) AS value_num FROM
 
 def timeliness_advice(spark, sf_dir):
     rows = tim.timeliness_advice(_ages(spark, sf_dir), "sales")
-    return rows.select("type", "level", F.col("scope.value").alias("name"))
+    return rows.select("content", "type", "level", F.col("scope.value").alias("name"))
 
 
-SQL_TIMELINESS_ADVICE = f"SELECT 'Latest Date far in the past' AS type, 'high' AS level, col AS name FROM ({_AGES}) WHERE days_latest > 365"
+SQL_TIMELINESS_ADVICE = f"SELECT 'Nothing in column ''' || col || ''' is from the last 365 days.' AS content, 'Latest Date far in the past' AS type, 'high' AS level, col AS name FROM ({_AGES}) WHERE days_latest > 365"
 
 
 def _advice(spark, sf_dir):
@@ -332,11 +345,126 @@ def flattened(spark, sf_dir):
 SQL_FLATTENED = "SELECT event_id, event_type AS event_kind, value AS event_value FROM events"
 
 
+LINEITEM = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+
+
 def part_numbers(spark, sf_dir):
-    return numbered(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 1000).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    """All columns of a table, in an order with ties in its first columns."""
+    rows = numbered(table(spark, sf_dir, "lineitem"), list(LINEITEM), 1000)
+    return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"), F.sum("l_partkey").alias("parts"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
+
+
+SQL_PART_NUMBERS = f"SELECT part, count(*) AS n, min(l_orderkey) AS first, max(l_orderkey) AS last, CAST(sum(l_partkey) AS BIGINT) AS parts, round(CAST(sum(l_quantity) AS DOUBLE), 4) AS quantity FROM (SELECT *, CAST(floor((row_number() OVER (ORDER BY {', '.join(LINEITEM)}) - 1) / 1000) + 1 AS BIGINT) AS part FROM lineitem) GROUP BY part"
+
+
+def parts_written(spark, sf_dir):
+    """Parts of 1000 rows in the table's order, written and read back under their names."""
+    path = folder(spark, "parts")
+    write_parts(table(spark, sf_dir, "orders"), path, "File", "My orders", 1000)
+    rows = spark.read.parquet(path).withColumn("name", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.sum("o_custkey").alias("customers"))
+
+
+SQL_PARTS_WRITTEN = "SELECT 'file_my_orders_part_' || CAST(part AS VARCHAR) || '.parquet' AS name, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last, CAST(sum(o_custkey) AS BIGINT) AS customers FROM (SELECT *, CAST(floor((row_number() OVER () - 1) / 1000) + 1 AS BIGINT) AS part FROM orders) GROUP BY part"
+
+
+def _written_as(spark, sf_dir, fmt, name):
+    path = f"{folder(spark, 'source')}/{name}.{fmt}"
+    df = table(spark, sf_dir, name)
+    df = df.select(*(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(c) for c, kind in df.dtypes))
+    df.write.option("header", True).format(fmt).save(path)
+    return path if "://" in path else f"file://{path}"
+
+
+def source_csv(spark, sf_dir):
+    return load(spark, {"type": "csv", "config": {"path": _written_as(spark, sf_dir, "csv", "customer")}})["file"].select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+SQL_SOURCE_CSV = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+
+
+def source_json(spark, sf_dir):
+    return load(spark, {"type": "json", "config": {"path": _written_as(spark, sf_dir, "json", "part")}}, job={"json_lines": True})["file"].select("p_partkey", "p_name", "p_size", "p_retailprice")
+
+
+SQL_SOURCE_JSON = "SELECT p_partkey, p_name, p_size, p_retailprice FROM part"
+
+
+def source_parquet(spark, sf_dir):
+    return load(spark, {"type": "parquet", "config": {"path": _written_as(spark, sf_dir, "parquet", "supplier")}})["file"].select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+
+
+SQL_SOURCE_PARQUET = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"
+
 
+def _sqlite(spark, sf_dir) -> dict:
+    """A database file of the two smallest tables, of 30 rows, reached by a connection string."""
+    import os
+    import sqlite3
+    from urllib.parse import urlsplit
 
-SQL_PART_NUMBERS = "SELECT part, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM (SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 1000) + 1 AS BIGINT) AS part FROM orders) GROUP BY part"
+    path = urlsplit(f"{folder(spark, 'database')}.db").path
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with sqlite3.connect(path) as db:
+        for name, columns in (("nation", ("n_nationkey", "n_name", "n_regionkey")), ("region", ("r_regionkey", "r_name"))):
+            db.execute(f"CREATE TABLE {name} ({', '.join(columns)})")
+            db.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(columns))})", [tuple(r) for r in table(spark, sf_dir, name).select(*columns).collect()])
+    return {"type": "sqlite", "config": {"connection_string": f"sqlite:///{path}"}}
+
+
+def source_table(spark, sf_dir):
+    return load(spark, _sqlite(spark, sf_dir), "nation")["nation"]
+
+
+SQL_SOURCE_TABLE = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+
+
+def source_statement(spark, sf_dir):
+    return load(spark, _sqlite(spark, sf_dir), "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")["query"]
+
+
+SQL_SOURCE_STATEMENT = "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"
+
+
+def _sizes(frames):
+    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), F.lit(len(df.columns)).cast("bigint").alias("columns"), "n") for name, df in frames.items()])
+
+
+def source_tables(spark, sf_dir):
+    return _sizes(load(spark, _sqlite(spark, sf_dir), ["region", "nation"]))
+
+
+def source_database(spark, sf_dir):
+    return _sizes(load(spark, _sqlite(spark, sf_dir), "*"))
+
+
+SQL_SOURCE_TABLES = SQL_SOURCE_DATABASE = "SELECT 'nation' AS name, 3::BIGINT AS columns, count(*) AS n FROM nation UNION ALL SELECT 'region', 2, count(*) FROM region"
+
+
+def slug_names(spark, sf_dir):
+    """Columns renamed to slugs, and their old names."""
+    df, old = s.slug_columns(table(spark, sf_dir, "nation").select(F.col("n_name").alias(" Näme (of it)"), F.col("n_nationkey").alias("Key/1")))
+    return df.withColumn("old", F.lit(",".join(f"{k}={v}" for k, v in old.items())))
+
+
+SQL_SLUG_NAMES = "SELECT n_name AS name_of_it_, n_nationkey AS key_1, 'name_of_it_= Näme (of it),key_1=Key/1' AS old FROM nation"
+
+
+def session_metrics(spark, sf_dir):
+    """A check from its configuration to its JSON file, read back: values in their own types."""
+    from urllib.parse import urlsplit
+
+    check = Check(spark, {}, {"type": "csv", "config": {"path": _written_as(spark, sf_dir, "csv", "supplier")}}, {})
+    counts = comp.merge_counts(comp.partial_counts(check.load("source")["file"].select("s_suppkey", "s_nationkey")))
+    check.add("metrics", comp.completeness_metrics(counts, "supplier"))
+    path = check.save(urlsplit(folder(spark, "results")).path)[0]
+    rows = spark.read.option("multiLine", True).option("primitivesAsString", True).json(f"file://{path}")
+    return rows.select("key", F.col("value").alias("value"), F.col("scope.perimeter").alias("perimeter"), F.col("scope.value").alias("name"), F.col("scope.parent_scope.value").alias("parent"))
+
+
+SQL_SESSION_METRICS = """
+SELECT unnest(['n', 'n_var', 'n_cells_missing', 'p_cells_missing', 'score']) AS key, unnest([CAST(n AS VARCHAR), '2', '0', '0.0', '1.0']) AS value, 'dataset' AS perimeter, 'supplier' AS name, CAST(NULL AS VARCHAR) AS parent FROM (SELECT count(*) AS n FROM supplier)
+UNION ALL SELECT 'completeness_score', '1.0', 'column', unnest(['s_suppkey', 's_nationkey']), 'supplier'"""
 
 
 def normalised(spark, sf_dir):
@@ -351,14 +479,16 @@ SQL_NORMALISED = "SELECT p_partkey, p_name AS name, CAST(p_size AS BIGINT) AS si
 
 
 def json_values(spark, sf_dir):
-    """Metric rows as the JSON sink writes them: one typed value each."""
+    """Metric rows through the JSON sink's records, read back as text."""
+    from urllib.parse import urlsplit
+
     rows = comp.completeness_metrics(comp.merge_counts(comp.partial_counts(events_with_gaps(spark, sf_dir))), "events")
-    value = F.when(F.col("value_type") == "int", F.col("value_num").cast("bigint").cast("string")).otherwise(F.lit(None))
-    return rows.select("key", "value_type", value.alias("whole"), F.to_json("scope").isNotNull().alias("scoped")).withColumn("value_type", F.col("value_type").cast(T.StringType()))
+    path = save_json(rows, "metrics", urlsplit(folder(spark, "json")).path)
+    back = spark.read.option("multiLine", True).option("primitivesAsString", True).json(f"file://{path}")
+    return back.select("key", "value", F.col("scope.perimeter").alias("perimeter"), F.col("scope.value").alias("name"), F.col("scope.parent_scope.value").alias("parent"))
 
 
-SQL_JSON_VALUES = f"""
-SELECT key, CASE WHEN key IN ('n', 'n_var', 'n_cells_missing') THEN 'int' WHEN key = 'p_cells_missing' THEN 'float' ELSE 'text' END AS value_type, CASE WHEN key IN ('n', 'n_var', 'n_cells_missing') THEN CAST(CAST(value_num AS BIGINT) AS VARCHAR) END AS whole, true AS scoped FROM ({SQL_COMPLETENESS_ROWS})"""
+SQL_JSON_VALUES = f"SELECT key, value, perimeter, name, parent FROM ({SQL_COMPLETENESS_ROWS})"
 
 NAMES = (
     "completeness_columns", "completeness_dataset", "completeness_parts", "completeness_rows", "schema_rows",
@@ -367,6 +497,7 @@ NAMES = (
     "timeliness_ages", "timeliness_rows", "timeliness_score", "timeliness_advice",
     "recommendation_rescope", "recommendation_dedupe", "chunk_detect", "levels",
     "slugs", "slugs_any", "subjects", "rounded", "flattened", "part_numbers", "normalised", "json_values",
+    "parts_written", "source_csv", "source_json", "source_parquet", "source_table", "source_statement", "source_tables", "source_database", "slug_names", "session_metrics",
 )
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[f"SQL_{n.upper()}"] for n in NAMES}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sqlite3
 from collections.abc import Iterable, Iterator
+from urllib.parse import parse_qsl, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -34,6 +35,22 @@ def kind_of(config: dict) -> str:
     return str(kind).split("+")[0]
 
 
+def config_of_url(url: str) -> dict:
+    """The parts of a connection string, kind[+driver]://user:password@host:port/database?service_name=..., or sqlite:///path."""
+    kind, _, rest = url.partition("://")
+    kind = kind.split("+")[0].lower()
+    kind = {"postgres": "postgresql"}.get(kind, kind)
+    if kind == "sqlite":
+        return {"type": kind, "database": unquote(rest.split("?")[0].removeprefix("/")) or ":memory:"}
+    parts = urlsplit(f"//{rest}")
+    if not kind or not parts.hostname:
+        raise ValueError("not a connection string: kind://user:password@host:port/database")
+    options = dict(parse_qsl(parts.query))
+    port = parts.port or next((p for p, k in PORTS.items() if k == kind), None)
+    database = unquote(parts.path.removeprefix("/")) or options.get("service_name", "")
+    return {"type": kind, "host": parts.hostname, "port": port, "username": unquote(parts.username or ""), "password": unquote(parts.password or ""), "database": database}
+
+
 def jdbc_options(config: dict) -> dict[str, str]:
     """Options for ``format("jdbc")``. The password is an option, never part of the URL."""
     kind = kind_of(config)
@@ -125,9 +142,11 @@ def quoted(table: str) -> str:
 
 
 class Database:
-    """``scan``: a table, a query, several tables, or all of them."""
+    """``scan``: a table, a query, several tables, or all of them. A ``connection_string`` in the configuration wins over its parts."""
 
     def __init__(self, spark: SparkSession, config: dict):
+        if config.get("connection_string"):
+            config = config | config_of_url(config["connection_string"])
         self.spark, self.config, self.kind = spark, config, kind_of(config)
         if self.kind == "sqlite":
             spark.dataSource.register(SqliteSource)
@@ -149,6 +168,8 @@ class Database:
         if self.kind == "sqlite":
             return "SELECT name FROM sqlite_master WHERE type IN ('table', 'view') AND name NOT LIKE 'sqlite\\_%' ESCAPE '\\'"
         text = "'" + schema.replace("'", "''") + "'" if schema else None
+        if self.kind in ("mysql", "mariadb") and not text:  # here a schema is a database: the one connected to
+            return "SELECT table_name AS name FROM information_schema.tables WHERE table_schema = database()"
         if self.kind == "oracle":
             where = f"owner = {text}" if text else "owner NOT IN (SELECT username FROM all_users WHERE oracle_maintained = 'Y')"
             return f"SELECT owner || '.' || table_name AS name FROM all_tables WHERE {where} UNION SELECT owner || '.' || view_name FROM all_views WHERE {where}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.sources.files import format_of, read_file
+from granary.sources.files import SUFFIXES, format_of, read_file
 
 
 def s3(config: dict) -> tuple[str, dict[str, str]]:
@@ -67,8 +67,10 @@ STORES = {"s3": s3, "gcs": gcs, "azure_blob": azure, "hdfs": hdfs}
 
 
 def read_store(spark: SparkSession, kind: str, config: dict, skiprows: int = 0, json_lines: bool = False) -> DataFrame:
-    """An object as a DataFrame, lazily. The connector's jar must be on the cluster."""
+    """An object as a DataFrame, lazily; a suffix that names no format raises, unless one is given. The connector's jar must be on the cluster."""
     path, settings = STORES[kind](config)
+    if not config.get("format") and not path.lower().endswith(tuple(SUFFIXES)):
+        raise ValueError(f"{path}: unknown suffix, and no format given")
     hadoop = spark._jsc.hadoopConfiguration()
     for k, v in settings.items():
         hadoop.set(k, v)

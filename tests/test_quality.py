@@ -46,8 +46,7 @@ def test_any_number_of_parts(spark, parts):
 
 
 def test_schema_rows(spark):
-    counts = comp.merge_counts(comp.partial_counts(spark.createDataFrame([(1, 2)], "z int, a int")))
-    assert [(r["key"], r["value"]) for r in comp.schema_rows(counts, "d").collect()] == [("column", "a"), ("column", "z"), ("dataset", "d")]
+    assert [(r["key"], r["value"]) for r in comp.schema_rows(spark.createDataFrame([(1, 2)], "z int, a int"), "d").collect()] == [("column", "a"), ("column", "z"), ("dataset", "d")]
 
 
 def test_duplicates_merge_null_and_nan(spark):

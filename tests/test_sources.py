@@ -13,7 +13,7 @@ from granary.plans.session import Check, read_config
 from granary.plans.sinks import base_name, plain, write_parts
 from granary.plans.types import normalise
 from granary.sources import stores
-from granary.sources.database import Database, is_sql, jdbc_options
+from granary.sources.database import Database, config_of_url, is_sql, jdbc_options
 from granary.sources.files import format_of, read_csv, read_path
 from granary.sources.registry import load
 from granary.streaming.merge import collect_partials, merged
@@ -98,6 +98,47 @@ def test_names_and_options():
         stores.s3({})
 
 
+def test_connection_strings(spark, sqlite, tmp_path):
+    """A connection string alone is enough, and wins over the parts."""
+    conf = {"job": {"parquet_output_dir": str(tmp_path / "out"), "chunk_rows": 1000}}
+    paths = Check(spark, conf, {"type": "sqlite", "config": {"connection_string": f"sqlite:///{sqlite}"}}, {}).materialise("source", "items")
+    assert [spark.read.parquet(p).count() for p in paths] == [1000, 1000, 500]
+    got = config_of_url("postgresql+psycopg2://us%40er:p%2Fw@host/db")
+    assert got == {"type": "postgresql", "host": "host", "port": 5432, "username": "us@er", "password": "p/w", "database": "db"}
+    assert jdbc_options(config_of_url("oracle+oracledb://u:p@h:1522/?service_name=s"))["url"] == "jdbc:oracle:thin:@//h:1522/s"
+    assert config_of_url("sqlite:////abs/x.db")["database"] == "/abs/x.db" and config_of_url("sqlite:///rel.db")["database"] == "rel.db"
+    with pytest.raises(ValueError):
+        config_of_url("nothing")
+    mysql = Database(spark, {"connection_string": "mysql://u:p@h/d"})
+    assert mysql.listing_sql().endswith("table_schema = database()") and "'x'" in mysql.listing_sql("x")
+
+
+def test_materialise_brings_types(spark, tmp_path):
+    """Bytes become text and numeric text numbers before parts are written."""
+    path = str(tmp_path / "b.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (b BLOB, n TEXT)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [(b"a\xffb", "007"), (b"c", "8")])
+    conf = {"job": {"parquet_output_dir": str(tmp_path / "out")}}
+    paths = Check(spark, conf, {"type": "sqlite", "config": {"database": path}}, {}).materialise("source", "t")
+    got = spark.read.parquet(*paths)
+    assert [t for _, t in got.dtypes] == ["string", "bigint"] and sorted(r["n"] for r in got.collect()) == [7, 8]
+
+
+def test_parts_keep_order_and_are_full(spark, tmp_path):
+    """Many tasks write, parts are full all the same; older and further parts go, an empty table is one empty part."""
+    df = spark.range(0, 2600, 1, 7).selectExpr("id", "id % 10 AS k")
+    paths = write_parts(df, str(tmp_path), "t", "x", 500)
+    assert [[r["id"] for r in spark.read.parquet(p).collect()] for p in paths] == [list(range(a, min(a + 500, 2600))) for a in range(0, 2600, 500)]
+    assert len(write_parts(df.limit(0), str(tmp_path), "t", "x", 500)) == 1 and len(list(tmp_path.glob("t_x_part_*"))) == 1
+    assert spark.read.parquet(str(tmp_path / "t_x_part_1.parquet")).columns == ["id", "k"]
+
+
+def test_unknown_remote_suffix(spark):
+    with pytest.raises(ValueError):
+        stores.read_store(spark, "s3", {"path": "s3://b/k.bin"})
+
+
 @pytest.mark.parametrize("what,first", [("items", "sqlite_items_part_1"), ("SELECT * FROM items", "sqlite_query_part_1")])
 def test_parts_of_a_table(spark, sqlite, tmp_path, what, first):
     conf = {"job": {"parquet_output_dir": str(tmp_path / "out"), "chunk_rows": 1000}}
