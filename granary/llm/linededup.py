@@ -9,13 +9,14 @@ components; of each component, the line that comes first (by doc_id, then line n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Scratch, fresh, mix, spread_join
+from granary.llm.common import Scratch, fresh, mix, released, spread_join
 from granary.llm.linking import Linker, pick
 
 #: Characters of a shingle unless told otherwise: unrelated lines of equal length share under 1 % of such shingles.
@@ -114,9 +115,13 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(keys.ravel())), pa.array(x1), pa.array(x2)], ["item", "buckets", "x1", "x2"])
 
 
+BLANKS = " \t\n\x0b\f\r"
+
+
 def _trimmed(c: Column) -> Column:
-    """Without ASCII white space at the ends; a pattern for that would try every run of blanks inside."""
-    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
+    """Without ASCII white space at the ends; most lines have none, and trimming a set of characters looks at all of a line."""
+    ends = [test(F.lit(x)) for x in BLANKS for test in (c.startswith, c.endswith)]
+    return F.when(reduce(lambda a, b: a | b, ends), F.trim(c, F.lit(BLANKS))).otherwise(c)
 
 
 #: Rows of one place in the order of (doc_id, line_no) are told apart by this many values of a hash of their text.
@@ -149,7 +154,7 @@ def _grouped(df: DataFrame, text: str, doc_id: str, percent: int, shingle: int,
     place = F.expr("CAST((coalesce(CAST(doc_id AS DECIMAL(20)) + 9223372036854775808BD, 19999999999999999999BD) * 10000000000BD + line_no) * 100000000BD + tie AS DECIMAL(38))")
     classes = lines.groupBy("line").agg(F.min(place).alias("at"), F.count("*").alias("n"))
     classes = scratch.write(classes.withColumn("item", F.monotonically_increasing_id()), "classes")
-    signed = classes.select("item", "line").mapInArrow(lambda batches: _sign(batches, shingle), "item bigint, buckets array<bigint>, x1 bigint, x2 bigint")
+    signed = classes.select("item", "line").mapInArrow(released(lambda batches: _sign(batches, shingle)), "item bigint, buckets array<bigint>, x1 bigint, x2 bigint")
     signed = scratch.write(signed, "signed")
 
     def fetch(ids: DataFrame, n: int) -> DataFrame:

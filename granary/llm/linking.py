@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import Scratch, spread_join
+from granary.llm.common import Scratch, released, spread_join
 from granary.llm.components import connected_components
 
 #: Ids up to so many (8 bytes each) are broadcast to pick rows; more are joined by shuffle.
@@ -81,7 +81,7 @@ class Linker:
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(links_of(part.column(2), part.column(3)), pa.bool_()))
 
         both = pairs.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b").select("a", "b", "p", "q")
-        links, _ = self._write(both.mapInArrow(compare, "a bigint, b bigint"), "links")
+        links, _ = self._write(both.mapInArrow(released(compare), "a bigint, b bigint"), "links")
         self.scratch.drop(c)
         return pairs, links
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WORD, Scratch, mix, spread_join
+from granary.llm.common import WORD, Scratch, mix, released, spread_join
 from granary.llm.components import connected_components
 from granary.llm.linking import BROADCAST_IDS, Linker, linked, pick
 
@@ -94,7 +94,7 @@ def sketches(df: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
             columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, k1, k2)), pa.array(tokens, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "k1", "k2", "tokens"])
 
-    return df.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(run, schema)
+    return df.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(released(run), schema)
 
 
 def _start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +143,12 @@ def _grouped(df: DataFrame, text: str, doc_id: str, words: int, percent: int, sc
                 sets = pa.array([shingles(t.as_py() or "", words).tobytes() for t in batch.column(1)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["item", "payload"])
 
-        return rows.mapInArrow(run, "item bigint, payload binary")
+        return rows.mapInArrow(released(run), "item bigint, payload binary")
 
     def branch(members: DataFrame) -> DataFrame:
         return members.join(classes.select("item", "tokens"), "item").select("bucket", "item", "tokens").mapInArrow(_go_on, "bucket bigint, item bigint")
 
-    signed = classes.select("item", "tokens").mapInArrow(_start, "item bigint, buckets array<bigint>, x1 bigint, x2 bigint")
+    signed = classes.select("item", "tokens").mapInArrow(released(_start), "item bigint, buckets array<bigint>, x1 bigint, x2 bigint")
     signed = scratch.write(signed, "signed")
     linker = Linker(scratch, fetch, _as_set, lambda p, q: _links_of(p, q, percent), percent, signed.select("item", "x1", "x2"), AGREE)
     found = linker.components(signed.select(F.explode("buckets").alias("bucket"), "item"), branch, DEPTH)

@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import Scratch, fresh, literal_table
+from granary.llm.common import Scratch, fresh, literal_table, released
 
 #: A worker remembers the ids of so many words, and of as many that it met before those.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 _STOPS = frozenset(b".,")
 #: Lower-case Latin-1 letters: one run for the tokenizer, changed by none of its normalizers.
@@ -146,7 +146,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str =
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.select(F.col(doc_id), F.col(text)).mapInArrow(cut, schema)
+    return df.select(F.col(doc_id), F.col(text)).mapInArrow(released(cut), schema)
 
 
 def pack_histogram(histogram: dict[int, int], limit: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import fresh
+from granary.llm.common import fresh, released
 
 #: ASCII other than letters and digits parts words.
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -148,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Model:
             found = pa.array([squeezed(np.unique(features(t.as_py() or "", o))) for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(2)], ["doc_id", "found", "toxic"])
 
-    rows = rows.select(F.col("doc_id").cast("bigint"), "text", F.col("toxic").cast("int")).mapInArrow(hashed, "doc_id bigint, found binary, toxic int").toArrow()
+    rows = rows.select(F.col("doc_id").cast("bigint"), "text", F.col("toxic").cast("int")).mapInArrow(released(hashed), "doc_id bigint, found binary, toxic int").toArrow()
     found, toxic = rows["found"].to_pylist(), rows["toxic"].to_pylist()
     # Of rows that share a doc_id, one counts: the least by its features.
     least: dict[int, int] = {}
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, s
             p = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
