@@ -4,7 +4,8 @@ Items that share a bucket are candidates; each has a sketch of its minwise hashe
 sketches can hardly be those of a link are never made. Linear work comes first: every item is compared with two
 pivots of its bucket, its smallest and its largest item (in large buckets also with the first by one of a few
 hashes), and verified links are joined to components. Buckets above ``small`` are branched by the caller, as deep as
-it says. Of buckets that then still hold several components, small ones compare all pairs across
+it says, but for those whose items are much alike on average: branching would multiply their rows without parting them.
+Of buckets that then still hold several components, small ones compare all pairs across
 components. Large ones come together by their main component: items outside it, each once however many buckets it
 shares with it, are compared with all of it in blocks of bounded bytes, and only links leave a block. Pairs
 inside one component can't change the result and are never compared.
@@ -31,6 +32,8 @@ BLOCK, PROBES = 1 << 20, 1 << 18
 COLUMNS = 8192
 #: One in so many items is looked at for buckets of very many rows; so many such buckets are broadcast, at the most.
 SAMPLED, HOT = 16, 10_000
+#: A large bucket of this average similarity to one of its pivots isn't branched, but compared whole.
+DENSE = 0.5
 #: Orders of the third pivot of large buckets; buckets that hold much the same items share orders, and so pairs.
 ORDERS = 8
 
@@ -118,12 +121,14 @@ class Linker:
 
         ``branch``: of large buckets' (bucket, item), members of smaller ones; used ``depth`` - 1 times.
         """
-        levels = [self._shared(members)]
+        levels, dense = [self._shared(members)], []
         while branch and len(levels) < depth:
-            large = levels[-1].filter(F.col("n") > self.small)
-            if large.isEmpty():
+            large = self._by_density(levels[-1].filter(F.col("n") > self.small))
+            open_ = large.filter("NOT dense")
+            if open_.isEmpty():  # what is large here is compared whole, with the last level
                 break
-            members, a = self._write(branch(large.select("bucket", "item")), "members")
+            members, a = self._write(branch(open_.select("bucket", "item")), "members")
+            dense.append(large.filter("dense").select(*levels[0].columns))
             levels.append(self._shared(members))
             self.scratch.drop(a)
         tried, links = self.verified(self._star_pairs(union(levels)))
@@ -131,8 +136,8 @@ class Linker:
             return self._components(tried)
         found = self._components(links)
         # Buckets of up to three rows have been compared whole.
-        # Large ones above the last level are compared in their children.
-        leaves = union([s.filter(f"n > 3 AND n <= {self.small}") for s in levels[:-1]] + [levels[-1].filter("n > 3")])
+        # Large ones above the last level are compared in their children, if they aren't dense.
+        leaves = union([s.filter(f"n > 3 AND n <= {self.small}") for s in levels[:-1]] + dense + [levels[-1].filter("n > 3")])
         rows, a = self._write(self._named(leaves, found), "rows")
         pairs = self._small_pairs(rows.filter(F.col("n") <= self.small))
         links = [self.verified(pairs.join(tried, ["a", "b"], "left_anti"))[1], self._crowd_links(rows.filter(F.col("n") > self.small))]
@@ -140,6 +145,23 @@ class Linker:
         self.scratch.drop(a)
         return self._components(union([found.toDF("a", "b"), *links])) if links else found
 
+    def _by_density(self, large: DataFrame) -> DataFrame:
+        """``large`` (bucket, item, n and pivots), written, with a column dense: whether the bucket's items are, on average, alike to one of its pivots.
+
+        Similarity is read off the sketches, where unrelated items agree in half of the bits.
+        """
+        names = ["lo", "hi", "mid"]
+        rows = large.join(self.sketch, "item")
+        marks = [F.max(F.when(F.col("item") == F.col(p), F.struct("x1", "x2"))).alias(f"{p}_") for p in names]
+        pivots, a = self._write(rows.groupBy("bucket").agg(F.first("n").alias("n"), *marks), "pivots")
+        near = spread_join(rows.select("bucket", "item", "x1", "x2"), pivots, ["bucket"], "n", ["item"])
+        means = [F.avg(alike(F.col("x1"), F.col("x2"), F.col(f"{p}_.x1"), F.col(f"{p}_.x2"))) for p in names]
+        per = near.groupBy("bucket").agg(F.first("n").alias("n"), (F.greatest(*means) >= 64 * (1 + DENSE)).alias("dense"))
+        per, b = self._write(per, "density")
+        out, _ = self._write(spread_join(large.drop("n"), per, ["bucket"], "n", ["item"]), "large")
+        self.scratch.drop(a, b)
+        return out
+
     def _components(self, links: DataFrame) -> DataFrame:
         self.made += 1
         return connected_components(links, self.scratch, f"cc{self.made}")

@@ -4,8 +4,8 @@ A document's set is its distinct word shingles. Documents of equal sets are one
 copies cost nothing. A class has ``TOKENS`` minwise tokens (place, least hash). In each of
 ``TREES`` independent trees it starts at the root and goes on to the child of each token that a
 hash of (tree, path, token) selects, with probability 1 / (0.8 * TOKENS): about 1.25 children, and a
-pair of similarity 0.8 shares one on average. Small nodes are compared exhaustively, large ones
-branched further. A pair at the threshold is missed by all 16 trees with probability 1e-7 where
+pair of similarity 0.8 shares one on average. Small nodes are compared exhaustively, and so are large ones whose
+classes are much alike on average, which branching can't part; other large ones are branched further. A pair at the threshold is missed by all 16 trees with probability 1e-7 where
 one level is enough, 4e-5 with two, 5e-4 with three. Candidates are checked by 128 one-bit minwise
 hashes (a true pair is lost with probability 1e-6), then by the full sets.
 """

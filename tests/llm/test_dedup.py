@@ -240,3 +240,15 @@ def test_rows_that_share_an_id_are_one_component(spark):
     got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs).filter("n_shingles > 0").collect()}
     assert got == {(1, 1), (2, 1), (5, 1), (6, 6)}
     assert sorted(tuple(r) for r in neardup.keep_one(docs).collect()) == [(1, texts[1]), (5, " "), (6, rows[5][1])]
+
+
+def test_dense_nodes_are_compared_whole_and_not_branched(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (2, 2))
+    rows = [(1, i, base[0]) for i in range(40)] + [(2, 100 + i, rng.integers(-(2**63), 2**63 - 1, 2)) for i in range(40)]
+    sketch = spark.createDataFrame([(i, int(x[0]), int(x[1])) for _, i, x in rows], "item bigint, x1 bigint, x2 bigint")
+    members = spark.createDataFrame([(b, i) for b, i, _ in rows], "bucket bigint, item bigint")
+    linker = linking.Linker(Scratch(spark, "t"), None, None, None, 80, sketch, 99)
+    split = linker._by_density(linker._shared(members))
+    assert {(r["bucket"], r["dense"]) for r in split.collect()} == {(1, True), (2, False)}
+    assert split.count() == 80
