@@ -8,8 +8,11 @@ keyed permutation for each pass over the source, so that passes use every block
 whole blocks and a part of one, so that a source's words are its rounded target. Places
 and blocks are joined by index. DataFrame functions only.
 
-The driver holds one row a source and shards x sources counts; sources must be a category
-(at most ``MAX_SOURCES``, which is checked), and shards are at most ``MAX_SHARDS``.
+Any number of sources. Beyond ``MAX_GROUPS`` of them (a host or URL as the source) the driver
+draws for groups of sources, dealt by rank: ranks, targets and block counts are then computed by
+the plan, and a place of a group goes, by a keyed permutation of the group's places, to the source whose
+run of places holds it. The driver holds one row a group and shards x groups counts, at most
+``MAX_RUNS``; shards are at most ``MAX_SHARDS``.
 """
 
 from __future__ import annotations
@@ -18,16 +21,22 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import WORD, Scratch, fresh, literal_table
+from granary.llm.common import WORD, Scratch, fresh, literal_table, spread_join
 
-MAX_SOURCES = 100_000
+MAX_GROUPS = 1000
 MAX_SHARDS = 4096
+#: Rows of the driver's table of (shard, group) counts; large corpora of many groups get larger shards.
+MAX_RUNS = 2**18
 PLACES_PER_TASK = 250_000
+#: Sources in one task of their ranking.
+SOURCES_PER_TASK = 100_000
+#: Places that are matched at once with the sources of a group that own some of them.
+BIN = 64
 #: Names of the plan's own columns; callers hand in columns of other names.
-RESERVED = frozenset(("row_", "src_", "name_", "source_size", "target", "sums_", "sum_", "size_", "base_", "at_", "block", "start", "length", "within", "n"))
+RESERVED = frozenset(("row_", "src_", "name_", "source_size", "target", "sums_", "sum_", "size_", "base_", "at_", "block", "start", "length", "within", "n", "k1_", "k2_", "rows"))
 #: Rows of one running sum; a source has as many sums as it needs.
 ROWS_PER_SUM = 5_000
 
@@ -89,6 +98,76 @@ def coprime(n: int) -> int:
     return step
 
 
+def coprime_of(n: Column) -> Column:
+    """``coprime`` in a plan. Below 2**62 no number has so many prime factors that all of 128 numbers in turn share one."""
+
+    def divisor(a: Column, b: Column) -> Column:
+        step = F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b"))))
+        return step["a"]
+
+    first = F.greatest(F.lit(1).cast("bigint"), F.floor(n * 0.6180339887498949).cast("bigint"))
+    none = F.lit(None).cast("bigint")
+    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.lit(127).cast("bigint")), none, lambda got, i: F.when(got.isNotNull(), got).when(divisor(first + i, n) == 1, first + i))
+
+
+def name_hashes(c: str, names: list[str]) -> list[Column]:
+    return [F.xxhash64(F.col(c).isNull(), F.coalesce(c, F.lit("")), F.lit(i)).alias(n) for i, n in enumerate(names)]
+
+
+SOURCE = "src_ bigint, name_ string, source_size bigint, target double, sums_ bigint, blocks bigint, passes bigint, rest bigint, part bigint, step bigint, part_step bigint, places bigint"
+
+
+def few_sources(spark: SparkSession, found: list, weights: tuple[int, ...], most: float, block: int) -> tuple[DataFrame, list[int], int]:
+    """Table ``SOURCE`` as a literal, the places of each source, and the most blocks of one."""
+    found = sorted(found, key=lambda r: (r[0] is None, r[0] or ""))
+    sizes = [int(r["n"] or 0) for r in found]
+    out = []
+    for i, (r, s, t) in enumerate(zip(found, sizes, targets(sizes, weights, most) if sizes else [], strict=True)):
+        blocks = -(-s // block)
+        passes, rest = divmod(round(t), s) if s else (0, 0)
+        part = blocks if rest > (blocks - 1) * block else max(0, blocks - 1)
+        out.append((i, r[0], s, t, max(1, -(-int(r["rows"]) // ROWS_PER_SUM)), blocks, passes, rest, part, coprime(blocks), coprime(part), place_count(s, round(t), block)))
+    return literal_table(spark, out, SOURCE), [r[-1] for r in out], max([0, *(r[5] for r in out)])
+
+
+def many_sources(scratch: Scratch, found: DataFrame, weights: tuple[int, ...], most: float, block: int, groups: int) -> tuple[DataFrame, list[int], int]:
+    """Table ``SOURCE`` with the columns rows, group_ and before_ (places of the group's earlier sources), written, the places of each group, and the most blocks of a source.
+
+    The same targets as ``targets``: what the full sources leave is one number, found anew until no other source is full.
+    """
+    name = found.columns[0]
+    found = scratch.write(found, "found")
+    n, words = found.agg(F.count("*"), F.sum("n")).first()
+    order = F.col(name).asc_nulls_last()
+    dealt = scratch.write(found.repartitionByRange(max(1, -(-n // SOURCES_PER_TASK)), order).withColumn("at_", F.spark_partition_id()), "dealt")
+    before = Window.orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)  # one row for so many sources
+    bases = dealt.groupBy("at_").agg(F.count("*").alias("held")).select("at_", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base_"))
+    src = dealt.join(F.broadcast(bases), "at_").withColumn("src_", F.row_number().over(Window.partitionBy("at_").orderBy(order)) + F.col("base_") - 1)
+    size = F.coalesce("n", F.lit(0)).cast("bigint")
+    w = F.array(*map(F.lit, weights))[F.pmod("src_", F.lit(len(weights))).cast("int")]
+    ranked = scratch.write(src.select("src_", F.col(name).alias("name_"), size.alias("source_size"), F.col("rows").cast("bigint").alias("rows"), w.cast("double").alias("w")), "ranked")
+    empty = F.col("source_size") == 0
+    full, share, known = empty, F.lit(None).cast("double"), None
+    while True:
+        held, kept, left, weight = ranked.agg(F.count_if(full), F.sum(F.when(full, F.col("source_size"))), F.lit(words or 0) - F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0)) * most, F.sum(F.when(~full, F.col("w")))).first()
+        if held == known or not weight:
+            break
+        known, share = held, F.lit(float(left)) * F.col("w") / F.lit(float(weight))
+        full = empty | (share > F.col("source_size") * most)  # shares only rise
+    src = ranked.withColumn("target", F.when(full, (F.col("source_size") * most).cast("double")).otherwise(share))
+    src = src.withColumns({"sums_": F.expr(f"(rows + {ROWS_PER_SUM - 1}) div {ROWS_PER_SUM}"), "blocks": F.expr(f"(source_size + {block - 1}) div {block}"), "want": F.bround("target").cast("bigint")})
+    some = F.col("source_size") > 0
+    src = src.withColumns({"passes": F.when(some, F.expr("want div source_size")).otherwise(0), "rest": F.when(some, F.col("want") % F.col("source_size")).otherwise(0)})
+    src = src.withColumn("part", F.when(F.col("rest") > (F.col("blocks") - 1) * block, F.col("blocks")).otherwise(F.greatest(F.lit(0), F.col("blocks") - 1)))
+    src = src.withColumns({"step": coprime_of(F.col("blocks")), "part_step": coprime_of(F.col("part")), "places": F.col("passes") * F.col("blocks") + F.expr(f"(rest + {block - 1}) div {block}"), "group_": F.pmod("src_", F.lit(groups)).cast("int")})
+    earlier = Window.partitionBy("group_").orderBy("src_").rowsBetween(Window.unboundedPreceding, -1)
+    src = src.withColumn("before_", F.coalesce(F.sum("places").over(earlier), F.lit(0)))
+    src = scratch.write(src.selectExpr(*(f"cast({f.split()[0]} as {f.split()[1]}) as {f.split()[0]}" for f in SOURCE.split(", ")), "rows", "group_", "before_"), "sources")
+    scratch.drop("found", "dealt", "ranked")
+    counts = {r[0]: r[1:] for r in src.groupBy("group_").agg(F.sum("places"), F.max("blocks")).collect()}
+    return src, [int(counts[g][0]) if g in counts else 0 for g in range(groups)], max(int(c[1]) for c in counts.values())
+
+
 @dataclass
 class Mix:
     """rows: row_ (long, unique), source_size, target and the input's columns. pieces: row_, src_, block, start, length (words), within (words of the block before it). places: shard, position, src_, pass_, block, cut (words that the place takes of its block, null: all)."""
@@ -99,7 +178,7 @@ class Mix:
     scratch: Scratch
 
 
-def mix_blocks(df: DataFrame, size: str, source: str, order: list[str], block: int = 128, places_per_shard: int = 65_536, weights=(1, 2, 3), most: float = 3, seed: int = 29) -> Mix:
+def mix_blocks(df: DataFrame, size: str, source: str, order: list[str], block: int = 128, places_per_shard: int = 65_536, weights=(1, 2, 3), most: float = 3, seed: int = 29, max_groups: int = MAX_GROUPS) -> Mix:
     """Plan a mix of the rows of ``df``, whose column ``size`` counts words. Other columns than those named are not looked at.
 
     ``order``: columns that order a source's stream; rows equal in all of them are
@@ -114,16 +193,18 @@ def mix_blocks(df: DataFrame, size: str, source: str, order: list[str], block: i
     if taken:
         raise ValueError(f"rename columns {taken}: the plan has columns of these names")
     named = scratch.write(df.withColumn("row_", F.monotonically_increasing_id()), "rows")
-    found = named.groupBy(source).agg(F.sum(size).alias("n"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: mix by a category")
-    found.sort(key=lambda r: (r[0] is None, r[0] or ""))
-    sizes = [int(r["n"] or 0) for r in found]
-    want = targets(sizes, weights, most) if sizes else []
-    blocks = [-(-s // block) for s in sizes]
-    places = [place_count(s, round(t), block) for s, t in zip(sizes, want, strict=True)]
-    src = literal_table(spark, [(i, r[0], s, t, max(1, -(-int(r["rows"]) // ROWS_PER_SUM))) for i, (r, s, t) in enumerate(zip(found, sizes, want, strict=True))], "src_ int, name_ string, source_size bigint, target double, sums_ int")
-    rows = named.join(F.broadcast(src), named[source].eqNullSafe(src["name_"])).drop("name_")
+    found = named.groupBy(source).agg(F.sum(size).alias("n"), F.count("*").alias("rows"))
+    some = found.limit(max_groups + 1).collect()
+    about = ["src_", "source_size", "target", "sums_"]
+    if len(some) <= max_groups:
+        src, places, most_blocks = few_sources(spark, some, weights, most, block)
+        rows = named.join(F.broadcast(src.select("name_", *about)), named[source].eqNullSafe(F.col("name_"))).drop("name_")
+    else:
+        src, places, most_blocks = many_sources(scratch, found, weights, most, block, max_groups)
+        # Hashes of 128 bits stand for names, so that rows of a common source are spread.
+        keys = ["k1_", "k2_"]
+        by = src.select(*name_hashes("name_", keys), "rows", *about)
+        rows = spread_join(named.select("*", *name_hashes(source, keys)), by, keys, "rows", ["row_"]).drop(*keys, "rows")
     rows = rows.withColumn("sum_", F.pmod(F.xxhash64(*order), F.col("sums_")))
 
     own = Window.partitionBy("src_", "sum_").orderBy(*order, "row_")
@@ -137,23 +218,31 @@ def mix_blocks(df: DataFrame, size: str, source: str, order: list[str], block: i
     pieces = cut.select("row_", "src_", "block", (first - F.col("at_")).alias("start"), (last - first).alias("length"), (first - F.col("block") * block).alias("within"))
 
     total = sum(places)
-    shards = min(MAX_SHARDS, max(1, -(-total // places_per_shard)))
+    shards = min(MAX_SHARDS, max(1, MAX_RUNS // max(1, len(places))), max(1, -(-total // places_per_shard)))
     counts = shard_counts(places, shards, seed) if total else np.zeros((0, len(places)), dtype=np.int64)
     runs, taken = [], [0] * len(places)
     for s, row in enumerate(counts):
         before, all_of = 0, int(row.sum())
         for i, c in enumerate(int(x) for x in row):
             if c:
-                passes, rest = divmod(round(want[i]), sizes[i])
-                part = blocks[i] if rest > (blocks[i] - 1) * block else blocks[i] - 1
-                runs.append((s, i, taken[i], c, before, all_of, coprime(all_of), blocks[i], coprime(blocks[i]), passes, rest, part, coprime(part)))
+                runs.append((s, i, taken[i], c, before, all_of, coprime(all_of), places[i], coprime(places[i])))
                 taken[i], before = taken[i] + c, before + c
-    runs = literal_table(spark, runs, "shard int, src_ int, first bigint, n bigint, before bigint, all_of bigint, stride bigint, blocks bigint, step bigint, passes bigint, rest bigint, part bigint, part_step bigint")
-    wide = max([0, *blocks, *(int(r.sum()) for r in counts)]) >= 2**31
-    k = runs.withColumn("from_", F.explode(F.expr("sequence(0L, n - 1, 10000L)"))).repartition(max(1, total // PLACES_PER_TASK), "shard", "src_", "from_").withColumn("k", F.explode(F.expr("sequence(from_, least(n, from_ + 10000) - 1)")))
-    nth = F.col("first") + F.col("k")
-    i = F.pmod(nth, F.col("blocks"))
-    k = k.withColumns({"i_": i, "pass_": ((nth - i) / F.col("blocks")).cast("bigint"), "p_": F.col("before") + F.col("k")})
+    runs = literal_table(spark, runs, "shard int, group_ int, first bigint, n bigint, before bigint, all_of bigint, stride bigint, of_group bigint, group_step bigint")
+    wide = max([0, most_blocks, *places, *(int(r.sum()) for r in counts)]) >= 2**31
+    k = runs.withColumn("from_", F.explode(F.expr("sequence(0L, n - 1, 10000L)"))).repartition(max(1, total // PLACES_PER_TASK), "shard", "group_", "from_").withColumn("k", F.explode(F.expr("sequence(from_, least(n, from_ + 10000) - 1)")))
+    k = k.select("shard", "group_", "all_of", "stride", "of_group", "group_step", (F.col("first") + F.col("k")).alias("nth"), (F.col("before") + F.col("k")).alias("p_"))
+    held = ["blocks", "passes", "rest", "part", "step", "part_step"]
+    if "group_" in src.columns:
+        k = k.withColumn("nth", permuted(F.col("nth"), F.col("of_group"), F.col("group_step"), F.xxhash64("group_", F.lit(seed + 2)), wide))
+        # A bin holds BIN places of a group, and no more sources than that.
+        bins = src.filter("places > 0").withColumn("bin_", F.explode(F.expr(f"sequence(before_ div {BIN}, (before_ + places - 1) div {BIN})")))
+        bins = bins.select("group_", "bin_", "src_", "before_", "places", *held)
+        k = k.withColumn("bin_", F.expr(f"nth div {BIN}")).hint("merge").join(bins, ["group_", "bin_"])
+        k = k.filter("nth >= before_ AND nth < before_ + places").withColumn("nth", F.col("nth") - F.col("before_"))
+    else:
+        k = k.join(F.broadcast(src.select(F.col("src_").cast("int").alias("group_"), "src_", *held)), "group_")
+    i = F.pmod("nth", "blocks")
+    k = k.withColumns({"i_": i, "pass_": F.expr("nth div blocks")})
     # The last pass needs whole blocks only, if it can do without the short one; else it takes all blocks and cuts the short one.
     last = F.col("pass_") == F.col("passes")
     k = k.withColumns({"of_": F.when(last, F.col("part")).otherwise(F.col("blocks")), "by_": F.when(last, F.col("part_step")).otherwise(F.col("step"))})

@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -106,6 +108,49 @@ def test_permutation(spark, n):
         assert sorted(r["x"] for r in out) == list(range(n))
 
 
+def test_coprime_in_a_plan(spark):
+    ns = [0, 1, 2, 3, 30, 97, 210, 2310, 6469693230, 2**40, 614889782588491410, 2**61 - 1]
+    got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", mixing.coprime_of(F.col("n")).alias("step")).collect()
+    assert all(math.gcd(r["step"], r["n"]) == 1 for r in got)
+
+
+@pytest.mark.parametrize("groups", [1, 5, 22])
+def test_many_sources(spark, groups):
+    """More sources than groups, one of them with a third of all rows: the same targets, every block once a pass, gapless shards."""
+    rng = random.Random(groups)
+    rows = [(i, rng.choice([0, 1, 5, 40, 300]), f"s{i % 23:02d}") for i in range(160)] + [(1000 + i, 37, "hot") for i in range(100)]
+    rows += [(2000, 0, "none"), (2001, 90, None), (2002, 3, None), (2003, None, ""), (2003, 4, ""), (2004, 70_000, "\U0001f600")]
+    df = spark.createDataFrame(rows, "doc_id long, size long, source string").repartition(3)
+    plan = mixing.mix_blocks(df, "size", "source", ["doc_id", "size"], block=16, places_per_shard=700, max_groups=groups)
+    kept = plan.rows.collect()
+    assert Counter((r["doc_id"], r["size"], r["source"]) for r in kept) == Counter(rows)
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r[1] or 0 for r in rows if r[2] == s) for s in names]
+    want = dict(zip(names, mixing.targets(sizes)))
+    assert {r["source"]: r["src_"] for r in kept} == {s: i for i, s in enumerate(names)}
+    assert all(r["source_size"] == sizes[r["src_"]] and abs(r["target"] - want[r["source"]]) < 1e-6 for r in kept)
+    places = plan.places.collect()
+    for shard in {p["shard"] for p in places}:
+        own = sorted(p["position"] for p in places if p["shard"] == shard)
+        assert own == list(range(len(own)))
+    for i, s in enumerate(sizes):
+        passes = divmod(round(want[names[i]]), s)[0] if s else 0
+        mine = Counter((p["pass_"], p["block"]) for p in places if p["src_"] == i)
+        assert max(mine.values(), default=1) == 1
+        assert all(sum(1 for q, _ in mine if q == n) == -(-s // 16) for n in range(passes))
+    pieces, cuts, taken = plan.pieces.collect(), {}, Counter()
+    for p in places:
+        cuts.setdefault((p["src_"], p["block"]), []).append(p["cut"])
+    for p in pieces:
+        for cut in cuts.get((p["src_"], p["block"]), []):
+            taken[p["row_"]] += p["length"] if cut is None else max(0, min(p["length"], cut - p["within"]))
+    by = Counter()
+    for r in kept:
+        assert taken[r["row_"]] <= 3 * (r["size"] or 0)
+        by[r["source"]] += taken[r["row_"]]
+    assert all(by[s] == round(want[s]) for s in names)
+
+
 def test_shard_counts():
     out = mixing.shard_counts([5, 0, 1000, 37], 9, 1)
     assert out.sum(0).tolist() == [5, 0, 1000, 37] and np.ptp(out.sum(1)) <= 1 and (out >= 0).all()
