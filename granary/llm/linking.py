@@ -148,18 +148,28 @@ class Linker:
     def _by_density(self, large: DataFrame) -> DataFrame:
         """``large`` (bucket, item, n and pivots), written, with a column dense: whether the bucket's items are, on average, alike to one of its pivots.
 
-        Similarity is read off the sketches, where unrelated items agree in half of the bits.
+        Similarity is read off the sketches, where unrelated items agree in half of the bits. How many items of a bucket have
+        each bit tells in how many bits a pivot agrees with all of them, so that no item meets its pivots.
         """
-        names = ["lo", "hi", "mid"]
+        names, halves = ["lo", "hi", "mid"], ["x1", "x2"]
         rows = large.join(self.sketch, "item")
-        marks = [F.max(F.when(F.col("item") == F.col(p), F.struct("x1", "x2"))).alias(f"{p}_") for p in names]
-        pivots, a = self._write(rows.groupBy("bucket").agg(F.first("n").alias("n"), *marks), "pivots")
-        near = spread_join(rows.select("bucket", "item", "x1", "x2"), pivots, ["bucket"], "n", ["item"])
-        means = [F.avg(alike(F.col("x1"), F.col("x2"), F.col(f"{p}_.x1"), F.col(f"{p}_.x2"))) for p in names]
-        per = near.groupBy("bucket").agg(F.first("n").alias("n"), (F.greatest(*means) >= 64 * (1 + DENSE)).alias("dense"))
-        per, b = self._write(per, "density")
+        marks = [F.max(F.when(F.col("item") == F.col(p), F.col(x))).alias(f"{p}_{x}") for p in names for x in halves]
+        ones = [F.sum(F.getbit(x, F.lit(j)).cast("bigint")).alias(f"{x}_{j}") for x in halves for j in range(64)]
+        sums = rows.groupBy("bucket").agg(F.first("n").alias("n"), F.count("*").alias("held"), *marks, *ones)
+        held = F.array(*(F.array(*(F.col(f"{x}_{j}") for j in range(64))) for x in halves))
+
+        def agreed(counts: Column, pivot: Column) -> Column:
+            def step(a: Column, k: Column) -> Column:
+                same = F.when(F.getbit(pivot, a["j"]) == 1, k).otherwise(F.col("held") - k)
+                return F.struct((a["sum"] + same).alias("sum"), (a["j"] + 1).alias("j"))
+
+            return F.aggregate(counts, F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("j")), step)["sum"]
+
+        to_pivots = [agreed(held[0], F.col(f"{p}_x1")) + agreed(held[1], F.col(f"{p}_x2")) for p in names]
+        per = sums.select("bucket", "n", (F.greatest(*to_pivots) >= 64 * (1 + DENSE) * F.col("held")).alias("dense"))
+        per, a = self._write(per, "density")
         out, _ = self._write(spread_join(large.drop("n"), per, ["bucket"], "n", ["item"]), "large")
-        self.scratch.drop(a, b)
+        self.scratch.drop(a)
         return out
 
     def _components(self, links: DataFrame) -> DataFrame:
@@ -186,7 +196,10 @@ class Linker:
         top = F.max(F.struct("k", (-F.col("comp")).alias("least")))
         main = each.groupBy("bucket").agg(F.sum("k").alias("n"), F.count("*").alias("comps"), (-top["least"]).alias("main")).filter("comps > 1")
         main, a = self._write(main, "main")
-        crowd = spread_join(rows.select("bucket", "m"), main, ["bucket"], "n", ["m.item"]).filter("main IS NOT NULL")
+        rows, several = rows.select("bucket", "m"), main.count()
+        if several <= BROADCAST_IDS:  # few buckets still hold several components: most rows go before they are joined
+            rows = pick(rows, "bucket", main.select(F.col("bucket").alias("item")), several)
+        crowd = spread_join(rows, main, ["bucket"], "n", ["m.item"]).filter("main IS NOT NULL")
         family, b = self._write(crowd.select("main", "m.item", "m.comp").distinct(), "family")
         n = family.count()
         if not n:

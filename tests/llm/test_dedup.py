@@ -252,3 +252,29 @@ def test_dense_nodes_are_compared_whole_and_not_branched(spark):
     split = linker._by_density(linker._shared(members))
     assert {(r["bucket"], r["dense"]) for r in split.collect()} == {(1, True), (2, False)}
     assert split.count() == 80
+
+
+def test_density_of_buckets(spark):
+    """Which large buckets are dense, by counts of bits, as by comparing every item with the bucket's pivots."""
+    rng = random.Random(1)
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    bits, rows = {}, []
+    for b in range(12):
+        base = (rng.getrandbits(64), rng.getrandbits(64))
+        items = range(len(bits), len(bits) + 40)
+        for i in items:
+            near = rng.random() < b / 12
+            bits[i] = tuple((v if near else rng.getrandbits(64)) ^ (1 << rng.randrange(64)) for v in base)
+        rows += [(b, i, 40, items[0], items[-1], items[7]) for i in items]
+    scratch = Scratch(spark, "density")
+    sketch = scratch.write(spark.createDataFrame([(i, *map(signed, x)) for i, x in bits.items()], "item long, x1 long, x2 long"), "sketch")
+    large = scratch.write(spark.createDataFrame(rows, "bucket long, item long, n long, lo long, hi long, mid long"), "rows")
+    got = linking.Linker(scratch, None, None, None, 80, sketch, 90)._by_density(large)
+    assert got.count() == len(rows)
+
+    def mean(mine, pivot):
+        return sum(128 - sum((x ^ y).bit_count() for x, y in zip(bits[r[1]], bits[pivot], strict=True)) for r in mine) / len(mine)
+
+    for r in got.select("bucket", "dense").distinct().collect():
+        mine = [x for x in rows if x[0] == r["bucket"]]
+        assert r["dense"] == (max(mean(mine, p) for p in mine[0][3:]) >= 64 * (1 + linking.DENSE))
