@@ -1,6 +1,7 @@
 """Near-duplicates and line dedup against brute force."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
