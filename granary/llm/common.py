@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import json
 import sys
@@ -63,10 +64,29 @@ def _sweep() -> None:
             return
 
 
+#: Whether Spark deletes a query's shuffle files when the query ends, and not when the driver happens to collect its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files; the session's setting is put back."""
+    old = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(FREED)
+        else:
+            spark.conf.set(FREED, old)
+
+
 class Scratch:
     """Written intermediate tables of one operator call; ``drop`` frees those no longer needed.
 
-    A table written to the shared folder cuts lineage in a way that survives lost executors.
+    A table written to the shared folder cuts lineage in a way that survives lost executors;
+    the shuffles that made it are deleted as soon as it is written.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
@@ -74,7 +94,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, f"{self.tag}-{name}")
-        df.write.parquet(path)
+        with shuffles_freed(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[name] = path
         return out

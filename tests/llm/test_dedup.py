@@ -2,13 +2,16 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from granary.llm import components, linededup, linking, neardup
+from granary.llm import common, components, linededup, linking, neardup
 from granary.llm.common import Scratch, spread_join
 from granary.llm.components import connected_components, forest
 
@@ -279,3 +282,19 @@ def test_density_of_buckets(spark):
     for r in got.select("bucket", "dense").distinct().collect():
         mine = [x for x in rows if x[0] == r["bucket"]]
         assert r["dense"] == (max(mean(mine, p) for p in mine[0][3:]) >= 64 * (1 + linking.DENSE))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """The files of a shuffle go when its table is written, whenever the driver collects its garbage; the session's setting stays as it was."""
+    jvm = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for f in (str(x) for x in jvm.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
+
+    before, setting = files(), spark.conf.get(common.FREED, None)
+    table = Scratch(spark, "t").write(spark.range(50_000).selectExpr("id % 5000 AS k").groupBy("k").count(), "counts")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 5000
+    assert spark.conf.get(common.FREED, None) == setting
