@@ -28,8 +28,10 @@ from granary.llm.components import connected_components
 BROADCAST_IDS = 1_000_000
 #: Bytes of payloads of a block, and of the outsiders that it is compared with at a time.
 BLOCK, PROBES = 1 << 20, 1 << 18
-#: Elements of a matrix at a time.
-COLUMNS = 8192
+#: Cells of a matrix at a time, or pairs that share an element.
+CELLS = 1 << 22
+#: Elements that fewer than one in so many pairs of sets share are counted pair by pair, others by a product of matrices.
+RARE = 256
 #: One in so many items is looked at for buckets of very many rows; so many such buckets are broadcast, at the most.
 SAMPLED, HOT = 16, 10_000
 #: A large bucket of this average similarity to one of its pivots isn't branched, but compared whole.
@@ -258,19 +260,47 @@ def _matrix(sets: list[np.ndarray], elements: np.ndarray) -> np.ndarray:
     return out
 
 
+def _entries(sets: list[np.ndarray], elements: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, element) of every one of the sorted ``elements`` that a set holds, by their numbers and in the order of elements, and how many sets hold each."""
+    x = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(elements, x), len(elements) - 1)
+    held = elements[at] == x
+    of, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[held], at[held]
+    order = np.argsort(at, kind="stable")
+    return of[order], at[order], np.bincount(at, minlength=len(elements))
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``a`` and each of ``b`` have in common, as a matrix."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    elements = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    if not len(elements):
+        return out
+    (i, of_a, n_a), (j, of_b, n_b) = _entries(a, elements), _entries(b, elements)
+    rare = RARE * n_a * n_b <= out.size
+    often, columns = elements[~rare], max(1, CELLS // max(out.shape))
+    for start in range(0, len(often), columns):
+        some = often[start : start + columns]
+        out += np.rint(_matrix(a, some) @ _matrix(b, some).T).astype(np.int64)
+    i, of_a = i[rare[of_a]], of_a[rare[of_a]]
+    first, n = np.cumsum(n_b) - n_b, n_b[of_a]
+    ends, at = np.cumsum(n), 0
+    while at < len(n):  # each entry of a meets those of b with its element
+        stop = max(at + 1, int(np.searchsorted(ends, CELLS + (ends[at - 1] if at else 0), "right")))
+        m = n[at:stop]
+        nth = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        cells = np.repeat(i[at:stop] * len(b), m) + j[np.repeat(first[of_a[at:stop]], m) + nth]
+        out += np.bincount(cells, minlength=out.size).reshape(out.shape)
+        at = stop
+    return out
+
+
 def block_links(x: pa.Table, y: pa.Table, to_set: Callable, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between two blocks (item, comp, payload) whose components differ."""
-    a, b = ([to_set(p.as_py()) for p in t.column("payload")] for t in (x, y))
-    if not a or not b:
+    b = [to_set(p.as_py()) for p in y.column("payload")]
+    if not b or not x.num_rows:
         return []
-    na, nb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
-    vocabulary = np.intersect1d(np.concatenate(a), np.concatenate(b))
-    common = np.zeros((len(a), len(b)), np.int64)
-    for start in range(0, len(vocabulary), COLUMNS):
-        some = vocabulary[start : start + COLUMNS]
-        common += np.rint(_matrix(a, some) @ _matrix(b, some).T).astype(np.int64)
-    (xi, xc), (yi, yc) = ([t.column(c).to_numpy() for c in ("item", "comp")] for t in (x, y))
-    ok = (100 * common >= percent * (na[:, None] + nb[None, :] - common)) & (na[:, None] > 0) & (nb[None, :] > 0) & (xc[:, None] != yc[None, :])
+    nb, (yi, yc) = np.array([len(s) for s in b]), (y.column(c).to_numpy() for c in ("item", "comp"))
     parent: dict[int, int] = {}
 
     def root(v: int) -> int:
@@ -278,10 +308,15 @@ def block_links(x: pa.Table, y: pa.Table, to_set: Callable, percent: int) -> lis
             v = parent[v] = parent[parent[v]]
         return v
 
-    out = []
-    for i, j in zip(*np.nonzero(ok), strict=True):
-        p, q = int(xi[i]), int(yi[j])
-        if (r := root(p)) != (s := root(q)):
-            parent[r] = s
-            out.append((p, q))
+    out, step = [], max(1, CELLS // len(b))
+    for part in (x.slice(at, step) for at in range(0, x.num_rows, step)):
+        a = [to_set(p.as_py()) for p in part.column("payload")]
+        na, (xi, xc) = np.array([len(s) for s in a]), (part.column(c).to_numpy() for c in ("item", "comp"))
+        common = common_counts(a, b)
+        ok = (100 * common >= percent * (na[:, None] + nb[None, :] - common)) & (na[:, None] > 0) & (nb[None, :] > 0) & (xc[:, None] != yc[None, :])
+        for i, j in zip(*np.nonzero(ok), strict=True):
+            p, q = int(xi[i]), int(yi[j])
+            if (r := root(p)) != (s := root(q)):
+                parent[r] = s
+                out.append((p, q))
     return out

@@ -298,3 +298,25 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not files() - before and table.count() == 5000
     assert spark.conf.get(common.FREED, None) == setting
+
+
+def test_common_counts(monkeypatch):
+    """Pair by pair, by matrices, and both, in small steps and at once; empty sets have nothing in common."""
+    rng = np.random.default_rng(2)
+    for cells, rare in itertools.product((40, 1 << 22), (0, 3, 256, 1 << 40)):
+        monkeypatch.setattr(linking, "CELLS", cells)
+        monkeypatch.setattr(linking, "RARE", rare)
+        a, b = ([np.unique(rng.integers(0, 50, rng.integers(0, 25)).astype(np.uint64)) for _ in range(n)] for n in (17, 9))
+        assert linking.common_counts(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
+def test_block_links_hold_bounded_matrices(monkeypatch):
+    """Very many short lines fit a block: their counts are made for a few rows at a time, with the same components."""
+    sizes, counts = [], linking.common_counts
+    monkeypatch.setattr(linking, "common_counts", lambda a, b: sizes.append(len(a) * len(b)) or counts(a, b))
+    monkeypatch.setattr(linking, "CELLS", 500)
+    lines = [f"line {i % 37} of {i % 5}" for i in range(200)]
+    block = pa.table({"item": range(200), "comp": range(200), "payload": lines})
+    found = linking.block_links(block.slice(0, 150), block.slice(150), lambda x: linededup.line_set(x, 5), 80)
+    links = [(i, j) for i in range(150) for j in range(150, 200) if linking.linked(linededup.line_set(lines[i], 5), linededup.line_set(lines[j], 5), 80)]
+    assert roots(range(200), found) == roots(range(200), links) and max(sizes) <= 500
