@@ -94,20 +94,21 @@ class Linker:
         """(bucket, item, n, lo, hi, mid) of buckets of several rows, with their pivots; mid is null in small ones.
 
         Most buckets hold one row, so members are shuffled once and counted where they arrive. Buckets of very many rows show in
-        a sample of the items; those, ``HOT`` at the most, are counted before any shuffle and their rows not dealt by bucket.
+        a sample of the items; those, ``HOT`` at the most, are counted before any shuffle and their rows dealt by item.
         """
         some = members.filter(F.pmod(F.xxhash64("item"), F.lit(SAMPLED)) == 0).groupBy("bucket").agg(F.count("*").alias("k"))
         hot, a = self._write(some.filter(f"k > {1000 // SAMPLED}").orderBy(F.desc("k"), "bucket").limit(HOT).select("bucket"), "hot")
         mid = F.min_by("item", F.xxhash64("item", F.pmod("bucket", F.lit(ORDERS))))
-        n, pivots = F.count("*"), {"lo": F.min("item"), "hi": F.max("item"), "mid": mid}
-        own = Window.partitionBy("bucket")
-        few = members.join(F.broadcast(hot), "bucket", "left_anti").withColumn("n", n.over(own)).filter("n > 1")
-        few = few.withColumns({k: c.over(own) for k, c in pivots.items()})
-        many = members.join(F.broadcast(hot), "bucket")
-        many = many.join(F.broadcast(many.groupBy("bucket").agg(n.alias("n"), *(c.alias(k) for k, c in pivots.items()))), "bucket")
-        rows = few.unionByName(many).filter("n > 1").withColumn("mid", F.when(F.col("n") > self.small, F.col("mid")))
-        out, _ = self._write(rows, "shared")
-        self.scratch.drop(a)
+        of = {"n": F.count("*"), "lo": F.min("item"), "hi": F.max("item"), "mid": mid}
+        counted = members.join(F.broadcast(hot), "bucket", "left_semi").groupBy("bucket").agg(*(c.alias(k) for k, c in of.items()))
+        counted, b = self._write(counted.select("bucket", F.struct(*of).alias("known")), "counted")
+        rows = members.join(F.broadcast(counted), "bucket", "left")
+        own = Window.partitionBy("bucket", F.when(F.col("known").isNotNull(), F.col("item")))
+        for k, c in of.items():
+            rows = rows.withColumn(k, F.coalesce(F.col("known")[k], c.over(own)))
+            rows = rows.filter("n > 1") if k == "n" else rows
+        out, _ = self._write(rows.drop("known").withColumn("mid", F.when(F.col("n") > self.small, F.col("mid"))), "shared")
+        self.scratch.drop(a, b)
         return out
 
     def _star_pairs(self, shared: DataFrame) -> DataFrame:

@@ -320,3 +320,18 @@ def test_block_links_hold_bounded_matrices(monkeypatch):
     found = linking.block_links(block.slice(0, 150), block.slice(150), lambda x: linededup.line_set(x, 5), 80)
     links = [(i, j) for i in range(150) for j in range(150, 200) if linking.linked(linededup.line_set(lines[i], 5), linededup.line_set(lines[j], 5), 80)]
     assert roots(range(200), found) == roots(range(200), links) and max(sizes) <= 500
+
+
+def test_rows_of_buckets_and_their_pivots(spark, monkeypatch):
+    """Small, large and very large buckets, as by brute force; rows of very large ones are joined once, by their buckets' counts."""
+    rng = random.Random(5)
+    rows = [(b, i) for b, n in ((1, 3000), (2, 1200), (3, 40), (4, 7), (5, 2), (6, 1)) for i in rng.sample(range(10**6), n)]
+    linker, plans = linking.Linker(Scratch(spark, "t"), None, None, None, 80, None, 99), {}
+    write = linker._write
+    monkeypatch.setattr(linker, "_write", lambda df, what: plans.update({what: df._jdf.queryExecution().optimizedPlan().toString()}) or write(df, what))
+    members = linker.scratch.write(spark.createDataFrame(rows, "bucket long, item long"), "members")
+    got = [tuple(r) for r in linker._shared(members).select("bucket", "item", "n", "lo", "hi", "mid").collect()]
+    own = {b: [i for x, i in rows if x == b] for b in range(1, 7)}
+    mids = {r["bucket"]: r["mid"] for r in members.groupBy("bucket").agg(F.min_by("item", F.xxhash64("item", F.pmod("bucket", F.lit(linking.ORDERS)))).alias("mid")).collect()}
+    assert sorted(got) == sorted((b, i, len(x), min(x), max(x), mids[b] if len(x) > linker.small else None) for b, x in own.items() if len(x) > 1 for i in x)
+    assert "Join Inner" not in "".join(plans.values()) and plans["shared"].count("Join") == 1
