@@ -23,6 +23,8 @@ from granary.llm.common import Scratch, fresh, literal_table, released
 
 #: A worker remembers the ids of so many words, and of as many that it met before those.
 WORDS_KEPT = 200_000
+#: Documents whose texts and ids a worker holds at a time.
+ROWS = 256
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 _STOPS = frozenset(b".,")
 #: Lower-case Latin-1 letters: one run for the tokenizer, changed by none of its normalizers.
@@ -125,21 +127,21 @@ def cut_pieces(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str =
         words = _caches.get(tokenizer)
         if words is None:
             words = _caches[tokenizer] = WordCache(tokenizer)
-        for batch in batches:
+        for part in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             rows, start, length, crc, total, ids = [], [], [], [], [], []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in part.column(1).to_pylist()]
             for i, all_ids in enumerate(words.ids(texts)):
                 all_ids += end
                 for at in range(0, len(all_ids), 4 * limit):
-                    part = all_ids[at : at + 4 * limit]
+                    piece = all_ids[at : at + 4 * limit]
                     rows.append(i)
                     start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+                    length.append(len(piece) // 4)
+                    crc.append(zlib.crc32(piece))
                     total.append(len(all_ids) // 4)
                     if with_ids:
-                        ids.append(np.frombuffer(part, dtype="<i4"))
-            columns = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+                        ids.append(np.frombuffer(piece, dtype="<i4"))
+            columns = [part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             if with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))

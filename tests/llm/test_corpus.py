@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -547,3 +548,26 @@ def test_index_bytes_inside_a_frame():
     cut = b"RIFF" + (at - 8).to_bytes(4, "little") + whole[8:at]
     for data in (whole, cut):
         assert [data[x:y] for x, y in media.parse_avi(data).frames] == frames
+
+
+def test_pieces_leave_a_worker_a_few_documents_at_a_time(spark):
+    """A worker holds the texts and ids of some documents of a batch, never of all; the pieces are those of each document alone."""
+    cut = {}
+
+    class Frame:
+        schema = spark.createDataFrame([], "doc_id long, text string").schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            cut["run"] = run
+
+    packing.cut_pieces(Frame(), packing.public_tokenizer(), limit=16)
+    n = 2 * packing.ROWS + 5
+    texts = [None if i % 50 == 0 else " ".join(f"word{i * k}" for k in range(i % 23)) for i in range(n)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": texts})
+    out = [b.to_pydict() for b in cut["run"](iter([batch]))]
+    assert max(len(set(b["doc_id"])) for b in out) <= packing.ROWS
+    alone = [b.to_pydict() for i in range(n) for b in cut["run"](iter([batch.slice(i, 1)]))]
+    assert all(sum((b[c] for b in out), []) == sum((b[c] for b in alone), []) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"))
