@@ -102,12 +102,13 @@ class Linker:
         of = {"n": F.count("*"), "lo": F.min("item"), "hi": F.max("item"), "mid": mid}
         counted = members.join(F.broadcast(hot), "bucket", "left_semi").groupBy("bucket").agg(*(c.alias(k) for k, c in of.items()))
         counted, b = self._write(counted.select("bucket", F.struct(*of).alias("known")), "counted")
-        rows = members.join(F.broadcast(counted), "bucket", "left")
-        own = Window.partitionBy("bucket", F.when(F.col("known").isNotNull(), F.col("item")))
+        # A column, not an expression: windows of one partitioning share a shuffle only if its keys are columns.
+        rows = members.join(F.broadcast(counted), "bucket", "left").withColumn("deal", F.when(F.col("known").isNotNull(), F.col("item")))
+        own = Window.partitionBy("bucket", "deal")
         for k, c in of.items():
             rows = rows.withColumn(k, F.coalesce(F.col("known")[k], c.over(own)))
             rows = rows.filter("n > 1") if k == "n" else rows
-        out, _ = self._write(rows.drop("known").withColumn("mid", F.when(F.col("n") > self.small, F.col("mid"))), "shared")
+        out, _ = self._write(rows.drop("known", "deal").withColumn("mid", F.when(F.col("n") > self.small, F.col("mid"))), "shared")
         self.scratch.drop(a, b)
         return out
 
