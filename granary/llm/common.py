@@ -119,6 +119,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Give memory that was freed back to the system; allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def released(run: Callable) -> Callable:
     """A function over batches that gives the memory it freed back at the end: Python workers live on for later tasks, and would keep it."""
 
@@ -126,9 +133,7 @@ def released(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                ctypes.CDLL(None).malloc_trim(0)
+            release()
 
     return wrapped
 

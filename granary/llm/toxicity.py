@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import fresh, released
+from granary.llm.common import fresh, release, released
 
 #: ASCII other than letters and digits parts words.
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -157,7 +157,12 @@ def learn(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Model:
             least[d] = i
     del rows
     order = [least[d] for d in sorted(least)]
-    return fit_features([found[i] for i in order], [toxic[i] for i in order], o)
+    found, toxic = [found[i] for i in order], [toxic[i] for i in order]
+    del least, order
+    model = fit_features(found, toxic, o)
+    del found, toxic
+    release()  # the driver lives on through the later stages, and would keep what the fit took
+    return model
 
 
 _dense: dict[int, np.ndarray] = {}

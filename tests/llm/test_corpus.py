@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
-from granary.llm import media, mixing, packing, queries, secrets, sharding, toxicity, vectors, warc
+from granary.llm import common, media, mixing, packing, queries, secrets, sharding, toxicity, vectors, warc
 from granary.llm.common import scratch_path
 
 
@@ -476,6 +476,23 @@ def test_toxicity_learns(spark, rows):
     assert clean.columns == docs.columns and 400 <= clean.count() <= 480
 
 
+def test_learning_gives_memory_back(spark, monkeypatch):
+    """The driver lives on through the later stages, so what a fit took goes back to the system after it."""
+    done = []
+
+    class Library:
+        def malloc_trim(self, pad):
+            done.append("trim")
+
+    fit = toxicity.fit_features
+    monkeypatch.setattr(common.sys, "platform", "linux")
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda name: Library())
+    monkeypatch.setattr(toxicity, "fit_features", lambda *a: done.append("fit") or fit(*a))
+    docs = spark.createDataFrame([(i, f"word{i} more") for i in range(20)], "doc_id long, text string")
+    toxicity.learn(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    assert done == ["fit", "trim"]
+
+
 def test_toxicity_edges(docs, none, rows):
     model = toxicity.fit([], [])
     out = toxicity.score(docs, model).collect()
