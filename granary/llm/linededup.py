@@ -37,14 +37,20 @@ _BAND = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _rolled(text: str, width: int) -> np.ndarray:
+    """A number for every ``width`` characters in turn of the text."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    h = c
+    for i in range(1, width):  # one character more
+        h = h[:-1] * _P + c[i:]
+    return h
+
+
 def shingle_hashes(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all character shingles of the lines, and each line's first; a line shorter than a shingle is padded to one."""
     padded = [s if len(s) >= width else s + "\x00" * (width - len(s)) for s in lines]
-    c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    h = _rolled("".join(padded), width)  # those across line ends are dropped below
     size = np.fromiter(map(len, padded), np.int64, len(padded))
-    h = c
-    for i in range(1, width):  # one character more; hashes across line ends are dropped below
-        h = h[:-1] * _P + c[i:]
     count = size - width + 1
     ends = np.cumsum(size)
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
@@ -52,31 +58,34 @@ def shingle_hashes(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray,
     return mix(h[at]), first
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Of a sorted array that isn't empty."""
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def line_set(line: str, width: int = SHINGLE) -> np.ndarray:
-    """The line's shingles."""
-    return np.unique(shingle_hashes([line], width)[0])
+    """The line's shingles: the distinct ones of ``shingle_hashes``, without what that does for many lines."""
+    return _distinct(np.sort(mix(_rolled(line.ljust(width, "\x00"), width))))
 
 
 def links_of(p: list[str], q: list[str], width: int, percent: int) -> np.ndarray:
-    """Which pairs of lines, up to 1024 of them, have 100 * intersection >= ``percent`` * union of their shingles. A shingle's key is its pair and 54 bits of its hash, so all pairs are sorted at once."""
+    """Which pairs of lines, up to 1024 of them, have 100 * intersection >= ``percent`` * union of their shingles. A shingle's key is its pair, 53 bits of its hash and whose it is, so all lines are sorted at once."""
     if not p:
         return np.zeros(0, bool)
-
-    def keys(lines: list[str]) -> np.ndarray:
-        h, first = shingle_hashes(lines, width)
-        pair = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(first, len(h))))
-        return distinct(np.sort(h >> np.uint64(10) | pair << np.uint64(54)))
-
-    def distinct(x: np.ndarray) -> np.ndarray:
-        return x[np.concatenate([[True], x[1:] != x[:-1]])]
+    h, first = shingle_hashes([*p, *q], width)
+    line = np.arange(2 * len(p), dtype=np.uint64)
+    key = line % np.uint64(len(p)) << np.uint64(54) | line // np.uint64(len(p))
+    x = h >> np.uint64(11) << np.uint64(1)
+    x |= np.repeat(key, np.diff(np.append(first, len(h))))
+    x.sort()
+    x = _distinct(x)
+    common = x[1:][(x[1:] ^ x[:-1]) == 1]  # equal but for whose it is
 
     def count(x: np.ndarray) -> np.ndarray:
         return np.bincount((x >> np.uint64(54)).astype(np.int64), minlength=len(p))
 
-    x, y = keys(p), keys(q)
-    both = np.sort(np.concatenate([x, y]))
-    n = count(both[1:][both[1:] == both[:-1]])
-    return 100 * n >= percent * (count(x) + count(y) - n)
+    n = count(common)
+    return 100 * n >= percent * (count(x) - n)
 
 
 def bands(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,13 +137,20 @@ def _trimmed(c: Column) -> Column:
 TIES = 10**8
 
 
+#: One number orders (doc_id, line_no, tie): 20, 10 and 8 digits. Numbers are aggregated without sorting, structs are not.
+#: A doc_id's digits are 2 for null, else 1, or 0 if it's negative, and its lower 63 bits. This is a row's share of the number.
+PLACE = """CAST(CASE WHEN doc_id IS NULL THEN 20000000000000000000BD
+    ELSE CAST(CAST(doc_id AS BIGINT) & 9223372036854775807L AS DECIMAL(20)) + CASE WHEN doc_id < 0 THEN 0BD ELSE 10000000000000000000BD END
+    END * 1000000000000000000BD + tie AS DECIMAL(38))"""
+
+
 def _lines(df: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, r1, r2, tie, line_no, line) of every line that isn't blank; (r1, r2) is a digest of the row's doc_id and text."""
+    """(doc_id, r1, r2, place, tie, line_no, line) of every line that isn't blank; (r1, r2) is a digest of the row's doc_id and text."""
     # Once a row: what stands beside a generator is computed for each of its rows.
     rows = df.select(F.col(doc_id).alias("doc_id"), *(c.alias(n) for c, n in zip(_row_key(text, doc_id), ("r1", "r2"), strict=True)), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("parts"))
-    rows = rows.select("doc_id", "r1", "r2", F.posexplode("parts").alias("line_no", "line"))
-    tie = F.pmod("r1", F.lit(TIES))
-    return rows.withColumn("line", _trimmed(F.col("line"))).filter("line <> ''").withColumn("tie", tie)
+    rows = rows.withColumn("tie", F.pmod("r1", F.lit(TIES))).withColumn("place", F.expr(PLACE))
+    rows = rows.select("doc_id", "r1", "r2", "place", "tie", F.posexplode("parts").alias("line_no", "line"))
+    return rows.withColumn("line", _trimmed(F.col("line"))).filter("line <> ''")
 
 
 def _row_key(text: str, doc_id: str) -> tuple[Column, Column]:
@@ -150,8 +166,7 @@ def _key(line: Column) -> tuple[Column, Column]:
 def _grouped(df: DataFrame, text: str, doc_id: str, percent: int, shingle: int, scratch: Scratch) -> DataFrame:
     """(doc_id, r1, r2, line_no, k1, k2, first_doc_id, first_line_no, kept) of every line that isn't blank."""
     lines = _lines(df, text, doc_id)
-    # One number orders (doc_id, line_no, tie), null doc_ids last: 20, 10 and 8 digits. Numbers are aggregated without sorting, structs are not.
-    place = F.expr("CAST((coalesce(CAST(doc_id AS DECIMAL(20)) + 9223372036854775808BD, 19999999999999999999BD) * 10000000000BD + line_no) * 100000000BD + tie AS DECIMAL(38))")
+    place = F.expr("CAST(place + CAST(line_no AS BIGINT) * 100000000L AS DECIMAL(38))")
     classes = lines.groupBy("line").agg(F.min(place).alias("at"), F.count("*").alias("n"))
     classes = scratch.write(classes.withColumn("item", F.monotonically_increasing_id()), "classes")
     signed = classes.select("item", "line").mapInArrow(released(lambda batches: _sign(batches, shingle)), "item bigint, buckets array<bigint>, x1 bigint, x2 bigint")
@@ -173,8 +188,9 @@ def _grouped(df: DataFrame, text: str, doc_id: str, percent: int, shingle: int,
     k1, k2 = _key(F.col("line"))
     named = classes.select(k1.alias("k1"), k2.alias("k2"), "n", "item", "at").join(heads, "item", "left").withColumn("head", F.coalesce("head", "at"))
     digits = F.lpad(F.col("head").cast("string"), 38, "0")
-    doc = F.substring(digits, 1, 20).cast("decimal(20,0)") - F.expr("9223372036854775808BD")
-    named = named.select("k1", "k2", "n", F.when(F.substring(digits, 1, 20) != "19999999999999999999", doc.cast("bigint")).alias("first_doc_id"), F.substring(digits, 21, 10).cast("int").alias("first_line_no"), F.substring(digits, 31, 8).cast("bigint").alias("first_tie"))
+    sign, doc = F.substring(digits, 1, 1), F.substring(digits, 2, 19).cast("bigint")
+    doc = F.when(sign == "1", doc).when(sign == "0", doc.bitwiseOR(F.expr("shiftleft(1L, 63)")))
+    named = named.select("k1", "k2", "n", doc.alias("first_doc_id"), F.substring(digits, 21, 10).cast("int").alias("first_line_no"), F.substring(digits, 31, 8).cast("bigint").alias("first_tie"))
     named = scratch.write(named, "named")
     scratch.drop("classes", "signed", "heads", "first")
     k1, k2 = _key(F.col("line"))

@@ -98,17 +98,23 @@ class Linker:
         """
         some = members.filter(F.pmod(F.xxhash64("item"), F.lit(SAMPLED)) == 0).groupBy("bucket").agg(F.count("*").alias("k"))
         hot, a = self._write(some.filter(f"k > {1000 // SAMPLED}").orderBy(F.desc("k"), "bucket").limit(HOT).select("bucket"), "hot")
-        mid = F.min_by("item", F.xxhash64("item", F.pmod("bucket", F.lit(ORDERS))))
-        of = {"n": F.count("*"), "lo": F.min("item"), "hi": F.max("item"), "mid": mid}
-        counted = members.join(F.broadcast(hot), "bucket", "left_semi").groupBy("bucket").agg(*(c.alias(k) for k, c in of.items()))
-        counted, b = self._write(counted.select("bucket", F.struct(*of).alias("known")), "counted")
-        # A column, not an expression: windows of one partitioning share a shuffle only if its keys are columns.
-        rows = members.join(F.broadcast(counted), "bucket", "left").withColumn("deal", F.when(F.col("known").isNotNull(), F.col("item")))
-        own = Window.partitionBy("bucket", "deal")
-        for k, c in of.items():
-            rows = rows.withColumn(k, F.coalesce(F.col("known")[k], c.over(own)))
+
+        def pivots(item: Column, bucket: str) -> dict[str, Column]:
+            mid = F.min_by(item, F.when(item.isNotNull(), F.xxhash64(item, F.pmod(bucket, F.lit(ORDERS)))))
+            return {"n": F.count(item), "lo": F.min(item), "hi": F.max(item), "mid": mid}
+
+        counted = members.join(F.broadcast(hot), "bucket", "left_semi").groupBy("bucket").agg(*(c.alias(k) for k, c in pivots(F.col("item"), "bucket").items()))
+        counted, b = self._write(counted.select("bucket", F.struct("bucket", "n", "lo", "hi", "mid").alias("known")), "counted")
+        known = F.col("known").isNotNull()
+        # A column, not an expression: windows of one partitioning share a shuffle only if its keys are columns. And one column: rows are
+        # sorted by radix then. A counted bucket's row may meet another bucket's by its hash, so windows look at rows of the others only.
+        rows = members.join(F.broadcast(counted), "bucket", "left").select("item", "known", F.when(known, F.xxhash64("item", "bucket")).otherwise(F.col("bucket")).alias("deal"))
+        own = Window.partitionBy("deal")
+        for k, c in pivots(F.when(~known, F.col("item")), "deal").items():
+            rows = rows.withColumn(k, F.when(known, F.col("known")[k]).otherwise(c.over(own)))
             rows = rows.filter("n > 1") if k == "n" else rows
-        out, _ = self._write(rows.drop("known", "deal").withColumn("mid", F.when(F.col("n") > self.small, F.col("mid"))), "shared")
+        rows = rows.select(F.when(known, F.col("known")["bucket"]).otherwise(F.col("deal")).alias("bucket"), "item", "n", "lo", "hi", "mid")
+        out, _ = self._write(rows.withColumn("mid", F.when(F.col("n") > self.small, F.col("mid"))), "shared")
         self.scratch.drop(a, b)
         return out
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import time
 
 import numpy as np
@@ -335,3 +336,37 @@ def test_rows_of_buckets_and_their_pivots(spark, monkeypatch):
     mids = {r["bucket"]: r["mid"] for r in members.groupBy("bucket").agg(F.min_by("item", F.xxhash64("item", F.pmod("bucket", F.lit(linking.ORDERS)))).alias("mid")).collect()}
     assert sorted(got) == sorted((b, i, len(x), min(x), max(x), mids[b] if len(x) > linker.small else None) for b, x in own.items() if len(x) > 1 for i in x)
     assert "Join Inner" not in "".join(plans.values()) and plans["shared"].count("Join") == 1
+
+
+def test_rows_are_dealt_to_buckets_by_one_number(spark, monkeypatch):
+    """Sorted by radix, which a second key rules out."""
+    linker, plans = linking.Linker(Scratch(spark, "t"), None, None, None, 80, None, 99), {}
+    write = linker._write
+    monkeypatch.setattr(linker, "_write", lambda df, what: plans.update({what: df._jdf.queryExecution().sparkPlan().toString()}) or write(df, what))
+    linker._shared(spark.createDataFrame([(1, 2), (1, 3), (4, 5)], "bucket long, item long"))
+    keys = re.findall(r"Window \[.*\], \[([^\]]*)\]", plans["shared"])
+    assert keys and all(re.fullmatch(r"deal#\d+L?", k) for k in keys)
+
+
+def test_line_sets_cost_no_more_than_many_lines_at_once():
+    """Blocks take lines one by one: no work of shingle_hashes on many lines is done for each of them."""
+    lines = ["", "a", "abcd", "abcde", "the same words the same words \U0001f600"] + ["x" * n for n in range(3, 9)]
+    for width in (5, 8):
+        h, first = linededup.shingle_hashes(lines, width)
+        for line, own in zip(lines, np.split(h, first[1:])):
+            assert linededup.line_set(line, width).tolist() == sorted(set(own.tolist()))
+    line, clock = " ".join(f"word{i}" for i in range(15)), time.process_time
+
+    def took(f, *x):
+        return min(-clock() + (f(*x), clock())[1] for _ in range(200))
+
+    assert took(linededup.line_set, line, 5) < 0.8 * took(lambda: np.unique(linededup.shingle_hashes([line], 5)[0]))
+
+
+def test_first_places_of_odd_ids(spark):
+    """Ids at both ends of their range, negative and null ones, in order."""
+    ids = [-(2**63), -(2**63) + 1, -10, -1, 0, 1, 9, 2**63 - 1, None]
+    for k, first in enumerate(ids):
+        docs = spark.createDataFrame([(d, "x\none line that all of these hold") for d in ids[k:][::-1]], "doc_id long, text string")
+        got = linededup.line_groups(docs).filter("line_no = 1").collect()
+        assert len(got) == len(ids) - k and all((r["first_doc_id"], r["first_line_no"], r["kept"]) == (first, 1, r["doc_id"] == first) for r in got)
