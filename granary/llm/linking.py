@@ -7,7 +7,8 @@ hashes), and verified links are joined to components. Buckets above ``small`` ar
 it says, but for those whose items are much alike on average: branching would multiply their rows without parting them.
 Of buckets that then still hold several components, small ones compare all pairs across
 components. Large ones come together by their main component: items outside it, each once however many buckets it
-shares with it, are compared with all of it in blocks of bounded bytes, and only links leave a block. Pairs
+shares with it, are compared with all of it in blocks, first by their sketches; only items that are alike to one of another
+component go on with their payloads, in blocks of bounded bytes that only links leave. Pairs
 inside one component can't change the result and are never compared.
 """
 
@@ -18,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import Scratch, released, spread_join
@@ -28,6 +29,8 @@ from granary.llm.components import connected_components
 BROADCAST_IDS = 1_000_000
 #: Bytes of payloads of a block, and of the outsiders that it is compared with at a time.
 BLOCK, PROBES = 1 << 20, 1 << 18
+#: Rows of a block, and outsiders at a time, where only sketches are compared; pairs of sketches at a time, which stay in a core's cache.
+SKETCHES, SEEN = 1 << 14, 1 << 16
 #: Cells of a matrix at a time, or pairs that share an element.
 CELLS = 1 << 22
 #: Elements that fewer than one in so many pairs of sets share are counted pair by pair, others by a product of matrices.
@@ -47,9 +50,28 @@ def pick(rows: DataFrame, key: str, ids: DataFrame, n: int | None = None) -> Dat
     return rows.join(ids.withColumnRenamed("item", key), key, "left_semi")
 
 
-def alike(x1, x2, y1, y2) -> Column:
-    """In how many of 128 bits two sketches agree."""
-    return 128 - F.bit_count(x1.bitwiseXOR(y1)) - F.bit_count(x2.bitwiseXOR(y2))
+def alike(x: list[str], y: list[str], planes: int = 0) -> str:
+    """SQL for how far two sketches, given by their words' names, agree: in how many bits, or in how many of ``planes`` hashes if each word holds one bit of each."""
+    pairs = [f"({a} ^ {b})" for a, b in zip(x, y, strict=True)]
+    return f"({planes} - bit_count({' | '.join(pairs)}))" if planes else f"({64 * len(x)} - {' - '.join(f'bit_count{p}' for p in pairs)})"
+
+
+def alike_rows(x: pa.Table, y: pa.Table, words: list[str], agree: int, planes: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two tables (comp, words of a sketch) have one in the other of another component, with sketches that agree in ``agree`` (``alike``) at least."""
+    seen, other = np.zeros(x.num_rows, bool), np.zeros(y.num_rows, bool)
+    (xw, xc), (yw, yc) = (([t.column(w).to_numpy().view(np.uint64) for w in words], t.column("comp").to_numpy()) for t in (x, y))
+    step = max(1, SEEN // max(1, y.num_rows))
+    for at in range(0, x.num_rows, step):
+        part = slice(at, at + step)
+        differ = [a[part, None] ^ b[None, :] for a, b in zip(xw, yw, strict=True)]
+        if planes:
+            n = planes - np.bitwise_count(np.bitwise_or.reduce(differ)).astype(np.int16)
+        else:
+            n = 64 * len(words) - sum(np.bitwise_count(d).astype(np.int16) for d in differ)
+        ok = (n >= agree) & (xc[part, None] != yc[None, :])
+        seen[part] = ok.any(axis=1)
+        other |= ok.any(axis=0)
+    return seen, other
 
 
 class Linker:
@@ -57,13 +79,14 @@ class Linker:
     distinct uint64 elements. ``links_of``: of two arrays of payloads, which pairs are links: 100 * intersection >= ``percent`` * union.
 
     An item may have several payloads and sketches; a pair is a link if any of its payloads' pairs is.
-    ``sketch``: a written table (item, x1, x2); pairs whose sketches have fewer than ``agree`` equal bits of
-    128 can hardly be links. ``small``: the largest bucket compared exhaustively.
+    ``sketch``: a written table (item, x1, x2, ...) of 64-bit words; pairs whose sketches have fewer than ``agree`` equal bits,
+    or hashes if each word holds a bit of each of ``planes`` hashes, can hardly be links. ``small``: the largest bucket compared exhaustively.
     """
 
-    def __init__(self, scratch: Scratch, fetch: Callable, to_set: Callable, links_of: Callable, percent: int, sketch: DataFrame, agree: int, small: int = 32):
+    def __init__(self, scratch: Scratch, fetch: Callable, to_set: Callable, links_of: Callable, percent: int, sketch: DataFrame, agree: int, small: int = 32, planes: int = 0):
         self.scratch, self.fetch, self.to_set, self.links_of, self.percent = scratch, fetch, to_set, links_of, percent
-        self.sketch, self.agree, self.small = sketch, agree, small
+        self.sketch, self.agree, self.small, self.planes = sketch, agree, small, planes
+        self.words = [c for c in sketch.columns if c != "item"] if sketch is not None else []
         self.made = 0
 
     def _write(self, df: DataFrame, what: str) -> tuple[DataFrame, str]:
@@ -122,9 +145,10 @@ class Linker:
         """Distinct alike pairs (a, b) of every member and the pivots of its bucket."""
         rows = shared.select("item", F.explode(F.array("lo", "hi", "mid")).alias("pivot")).filter("item <> pivot")
         pairs = rows.select(F.greatest("item", "pivot").alias("a"), F.least("item", "pivot").alias("b")).distinct()
-        x, y = self.sketch.toDF("a", "p1", "p2"), self.sketch.toDF("b", "q1", "q2")
-        both = pairs.join(x, "a").join(y, "b")
-        return both.filter(alike(*(F.col(c) for c in ("p1", "p2", "q1", "q2"))) >= self.agree).select("a", "b")
+        p, q = ([f"{side}_{w}" for w in self.words] for side in ("p", "q"))
+        sketch = self.sketch.select("item", *self.words)
+        both = pairs.join(sketch.toDF("a", *p), "a").join(sketch.toDF("b", *q), "b")
+        return both.filter(f"{alike(p, q, self.planes)} >= {self.agree}").select("a", "b")
 
     def components(self, members: DataFrame, branch: Callable | None = None, depth: int = 1) -> DataFrame:
         """(id, component), for items that aren't their component's smallest, of ``members`` (bucket, item), a cheap plan over a written table.
@@ -189,12 +213,13 @@ class Linker:
     def _named(self, rows: DataFrame, found: DataFrame) -> DataFrame:
         """(bucket, n, m) of ``rows`` (bucket, item, n): m has item, its sketch and comp, its component."""
         named = rows.join(self.sketch.join(found.withColumnRenamed("id", "item"), "item", "left"), "item")
-        return named.select("bucket", "n", F.struct("item", F.coalesce("component", "item").alias("comp"), "x1", "x2").alias("m"))
+        return named.select("bucket", "n", F.struct("item", F.coalesce("component", "item").alias("comp"), *self.words).alias("m"))
 
     def _small_pairs(self, rows: DataFrame) -> DataFrame:
         """Pairs across components in buckets of bounded size."""
         of = rows.groupBy("bucket").agg(F.collect_list("m").alias("g"), F.min("m.comp").alias("lo"), F.max("m.comp").alias("hi")).filter("lo <> hi")
-        like = f"y.comp <> x.comp AND 128 - bit_count(y.x1 ^ x.x1) - bit_count(y.x2 ^ x.x2) >= {self.agree}"
+        x, y = ([f"{side}.{w}" for w in self.words] for side in "xy")
+        like = f"y.comp <> x.comp AND {alike(x, y, self.planes)} >= {self.agree}"
         pair = "struct(greatest(x.item, y.item) AS a, least(x.item, y.item) AS b)"
         return of.select(F.expr(f"inline(flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> {like}), y -> {pair}))))"))
 
@@ -210,7 +235,7 @@ class Linker:
         if several <= BROADCAST_IDS:  # few buckets still hold several components: most rows go before they are joined
             rows = pick(rows, "bucket", main.select(F.col("bucket").alias("item")), several)
         crowd = spread_join(rows, main, ["bucket"], "n", ["m.item"]).filter("main IS NOT NULL")
-        family, b = self._write(crowd.select("main", "m.item", "m.comp").distinct(), "family")
+        family, b = self._write(self._sieved(crowd.select("main", "m.*")), "family")
         n = family.count()
         if not n:
             self.scratch.drop(a, b)
@@ -218,17 +243,6 @@ class Linker:
         whole, c = self._write(family.join(self.fetch(family.select("item"), n), "item").select("main", "item", "comp", "payload"), "whole")
         size, out = F.octet_length("payload").cast("bigint"), F.col("comp") != F.col("main")
         sizes, d = self._write(whole.groupBy("main").agg(F.count("*").alias("n"), F.ceil(F.sum(size) / BLOCK).alias("blocks"), F.ceil(F.sum(F.when(out, size)) / PROBES).alias("parts")), "sizes")
-
-        def number(n: Column, salt: int) -> Column:
-            return F.pmod(F.xxhash64("item", F.lit(salt)), n)
-
-        def all_of(n: Column) -> Column:
-            return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
-
-        whole = spread_join(whole, sizes, ["main"], "n", ["item"]).drop("n").filter("parts > 0 AND blocks > 0")
-        blocks, parts = F.col("blocks"), F.col("parts")
-        every = whole.select("main", number(blocks, 0).alias("block"), all_of(parts).alias("part"), F.lit(False).alias("probe"), "item", "comp", "payload")
-        asked = whole.filter(out).select("main", all_of(blocks).alias("block"), number(parts, 1).alias("part"), F.lit(True).alias("probe"), "item", "comp", "payload")
         to_set, percent = self.to_set, self.percent
 
         def compare(table: pa.Table) -> pa.Table:
@@ -236,10 +250,41 @@ class Linker:
             found = block_links(table.filter(pc.invert(probe)), table.filter(probe), to_set, percent)
             return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
 
-        links, _ = self._write(every.union(asked).groupBy("main", "block", "part").applyInArrow(compare, "a bigint, b bigint"), "links")
+        links, _ = self._write(self._dealt(whole, sizes).applyInArrow(compare, "a bigint, b bigint"), "links")
         self.scratch.drop(a, b, c, d)
         return links
 
+    def _sieved(self, crowd: DataFrame) -> DataFrame:
+        """Distinct (main, item, comp) of those of ``crowd`` (main, item, comp and sketch) that are alike to an item of another component of their main's crowd."""
+        crowd, _ = self._write(crowd.distinct(), "crowd")
+        out = F.col("comp") != F.col("main")
+        sizes, _ = self._write(crowd.groupBy("main").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SKETCHES).alias("blocks"), F.ceil(F.count(F.when(out, 1)) / SKETCHES).alias("parts")), "crowds")
+        words, agree, planes = self.words, self.agree, self.planes
+
+        def sieve(table: pa.Table) -> pa.Table:
+            probe = table.column("probe").combine_chunks()
+            sides = table.filter(pc.invert(probe)), table.filter(probe)
+            seen = alike_rows(*sides, words, agree, planes)
+            return pa.concat_tables([t.filter(pa.array(x)) for t, x in zip(sides, seen, strict=True)]).select(["main", "item", "comp"])
+
+        return self._dealt(crowd, sizes).applyInArrow(sieve, "main bigint, item bigint, comp bigint").distinct()
+
+    def _dealt(self, rows: DataFrame, sizes: DataFrame) -> GroupedData:
+        """``rows`` (main, item, comp, ...) grouped so that all of a main's meet its outsiders, whose column probe is true, in blocks x parts; ``sizes``, written, has the number n, blocks and parts of each main."""
+
+        def number(n: Column, salt: int) -> Column:
+            return F.pmod(F.xxhash64("item", F.lit(salt)), n)
+
+        def all_of(n: Column) -> Column:
+            return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+
+        own = [c for c in rows.columns if c != "main"]
+        rows = spread_join(rows, sizes, ["main"], "n", ["item"]).drop("n").filter("parts > 0 AND blocks > 0")
+        blocks, parts = F.col("blocks"), F.col("parts")
+        every = rows.select("main", number(blocks, 0).alias("block"), all_of(parts).alias("part"), F.lit(False).alias("probe"), *own)
+        asked = rows.filter("comp <> main").select("main", all_of(blocks).alias("block"), number(parts, 1).alias("part"), F.lit(True).alias("probe"), *own)
+        return every.union(asked).groupBy("main", "block", "part")
+
 
 def union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]

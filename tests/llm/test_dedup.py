@@ -370,3 +370,56 @@ def test_first_places_of_odd_ids(spark):
         docs = spark.createDataFrame([(d, "x\none line that all of these hold") for d in ids[k:][::-1]], "doc_id long, text string")
         got = linededup.line_groups(docs).filter("line_no = 1").collect()
         assert len(got) == len(ids) - k and all((r["first_doc_id"], r["first_line_no"], r["kept"]) == (first, 1, r["doc_id"] == first) for r in got)
+
+
+def test_crowds_fetch_only_items_with_an_alike_one(spark, monkeypatch):
+    """A large bucket of lines that are unlike, but for a few pairs: only those pairs' lines are fetched to be compared as a crowd."""
+    monkeypatch.setattr(linking, "SKETCHES", 50)
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(120)) for _ in range(300)]
+    for i in range(10, 20):
+        lines[200 + i] = lines[i][:60] + "#" + lines[i][61:]
+    frame = spark.createDataFrame(list(enumerate(lines)), "item long, payload string")
+    words = linededup.bands(lines, 5)[1].view(np.int64)
+    sketch = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(words.T)], ", ".join(["item long", *(f"{w} long" for w in linededup.WORDS)]))
+    fetched = []
+
+    def fetch(ids, n):
+        fetched.append(ids.distinct().count())
+        return linking.pick(frame, "item", ids, n)
+
+    def linked(p, q):
+        return linededup.links_of(p.to_pylist(), q.to_pylist(), 5, 80)
+
+    scratch = Scratch(spark, "t")
+    linker = linking.Linker(scratch, fetch, lambda x: linededup.line_set(x, 5), linked, 80, sketch, linededup.AGREE, 16, linededup.BANDS * linededup.ROWS)
+    # The first bucket links two lines beforehand: without links there is no main component.
+    members = frame.selectExpr("1L AS bucket", "item").union(frame.filter("item IN (10, 210)").selectExpr("2L AS bucket", "item"))
+    got = {r["id"]: r["component"] for r in linker.components(members).collect()}
+    assert got == {200 + i: i for i in range(10, 20)}
+    assert sum(fetched) <= 40
+
+
+@pytest.mark.parametrize("planes", [0, 48])
+def test_sketches_agree(spark, monkeypatch, planes):
+    """The same by SQL, by arrays in steps, and by counting bits one by one."""
+    monkeypatch.setattr(linking, "SEEN", 64)
+    rng = random.Random(planes)
+    words = ["x1", "x2", "x3"][: 3 if planes else 2]
+    base = [rng.getrandbits(planes or 64) for _ in words]
+    rows = [(i, rng.randrange(3), *(b ^ sum(1 << rng.randrange(planes or 64) for _ in range(rng.randrange(12))) & (2 ** (planes or 64) - 1) for b in base)) for i in range(40)]
+
+    def agree(x, y):
+        differ = [a ^ b for a, b in zip(x[2:], y[2:], strict=True)]
+        return planes - (differ[0] | differ[1] | differ[2]).bit_count() if planes else 128 - sum(d.bit_count() for d in differ)
+
+    least = sorted(agree(x, y) for x, y in itertools.combinations(rows, 2))[-60]
+    signed = [(*r[:2], *(v - 2**64 if v >= 2**63 else v for v in r[2:])) for r in rows]
+    table = pa.table({n: pa.array(c, pa.int64()) for n, c in zip(["item", "comp", *words], zip(*signed, strict=True), strict=True)})
+    x, y = linking.alike_rows(table.slice(0, 25), table.slice(25), words, least, planes)
+    near = [(a, b) for a in rows[:25] for b in rows[25:] if a[1] != b[1] and agree(a, b) >= least]
+    assert near and set(np.flatnonzero(x)) == {a[0] for a, _ in near} and set(np.flatnonzero(y)) == {b[0] - 25 for _, b in near}
+    frame = spark.createDataFrame(signed, ", ".join(f"{n} long" for n in ["item", "comp", *words]))
+    sql = linking.alike([f"p.{w}" for w in words], [f"q.{w}" for w in words], planes)
+    got = frame.alias("p").crossJoin(frame.alias("q")).selectExpr("p.item AS a", "q.item AS b", f"{sql} AS n").collect()
+    assert all(r["n"] == agree(rows[r["a"]], rows[r["b"]]) for r in got) and len(got) == 1600
