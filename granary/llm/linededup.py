@@ -185,6 +185,7 @@ def _grouped(df: DataFrame, text: str, doc_id: str, percent: int, shingle: int,
 
     linker = Linker(scratch, fetch, lambda line: line_set(line, shingle), linked, percent, signed.select("item", *WORDS), AGREE, small=SMALL, planes=BANDS * ROWS)
     found = linker.components(signed.select(F.explode("buckets").alias("bucket"), "item"))
+    scratch.drop("signed")
     # Only linked lines need their component's first; a component's own number is one of its lines.
     ids = found.union(found.select("component", "component").distinct())
     heads = ids.join(classes.select(F.col("item").alias("id"), "at"), "id")
@@ -197,7 +198,7 @@ def _grouped(df: DataFrame, text: str, doc_id: str, percent: int, shingle: int,
     doc = F.when(sign == "1", doc).when(sign == "0", doc.bitwiseOR(F.expr("shiftleft(1L, 63)")))
     named = named.select("k1", "k2", "n", doc.alias("first_doc_id"), F.substring(digits, 21, 10).cast("int").alias("first_line_no"), F.substring(digits, 31, 8).cast("bigint").alias("first_tie"))
     named = scratch.write(named, "named")
-    scratch.drop("classes", "signed", "heads", "first")
+    scratch.drop("classes", "heads", "first")
     k1, k2 = _key(F.col("line"))
     out = spread_join(lines.select("doc_id", "r1", "r2", "tie", "line_no", k1.alias("k1"), k2.alias("k2")), named, ["k1", "k2"], "n", ["doc_id", "line_no"])
     kept = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")) & (F.col("tie") == F.col("first_tie"))

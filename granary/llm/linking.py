@@ -9,7 +9,7 @@ Of buckets that then still hold several components, small ones compare all pairs
 components. Large ones come together by their main component: items outside it, each once however many buckets it
 shares with it, are compared with all of it in blocks, first by their sketches; only items that are alike to one of another
 component go on with their payloads, in blocks of bounded bytes that only links leave. Pairs
-inside one component can't change the result and are never compared.
+inside one component can't change the result and are never compared. Tables go as soon as no later step reads them.
 """
 
 from __future__ import annotations
@@ -87,11 +87,12 @@ class Linker:
         self.scratch, self.fetch, self.to_set, self.links_of, self.percent = scratch, fetch, to_set, links_of, percent
         self.sketch, self.agree, self.small, self.planes = sketch, agree, small, planes
         self.words = [c for c in sketch.columns if c != "item"] if sketch is not None else []
-        self.made = 0
+        self.made, self.names = 0, []
 
     def _write(self, df: DataFrame, what: str) -> tuple[DataFrame, str]:
         self.made += 1
-        return self.scratch.write(df, f"{what}{self.made}"), f"{what}{self.made}"
+        self.names.append(f"{what}{self.made}")
+        return self.scratch.write(df, self.names[-1]), self.names[-1]
 
     def verified(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """Distinct ``pairs`` (a, b), written, and the links among them by their whole payloads; None if there are no pairs."""
@@ -172,12 +173,18 @@ class Linker:
         # Buckets of up to three rows have been compared whole.
         # Large ones above the last level are compared in their children, if they aren't dense.
         leaves = union([s.filter(f"n > 3 AND n <= {self.small}") for s in levels[:-1]] + dense + [levels[-1].filter("n > 3")])
-        rows, a = self._write(self._named(leaves, found), "rows")
+        rows, _ = self._write(self._named(leaves, found), "rows")
+        self._forget("shared", "large", "links")
         pairs = self._small_pairs(rows.filter(F.col("n") <= self.small))
         links = [self.verified(pairs.join(tried, ["a", "b"], "left_anti"))[1], self._crowd_links(rows.filter(F.col("n") > self.small))]
         links = [x for x in links if x is not None]
-        self.scratch.drop(a)
-        return self._components(union([found.toDF("a", "b"), *links])) if links else found
+        found = self._components(union([found.toDF("a", "b"), *links])) if links else found
+        self._forget("")
+        return found
+
+    def _forget(self, *whats: str) -> None:
+        """Drop the tables written so far whose names begin so; components are not among them."""
+        self.scratch.drop(*(n for n in self.names if n.startswith(whats)))
 
     def _by_density(self, large: DataFrame) -> DataFrame:
         """``large`` (bucket, item, n and pivots), written, with a column dense: whether the bucket's items are, on average, alike to one of its pivots.

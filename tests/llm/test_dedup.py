@@ -373,7 +373,7 @@ def test_first_places_of_odd_ids(spark):
 
 
 def test_crowds_fetch_only_items_with_an_alike_one(spark, monkeypatch):
-    """A large bucket of lines that are unlike, but for a few pairs: only those pairs' lines are fetched to be compared as a crowd."""
+    """A large bucket of lines that are unlike, but for a few pairs: only those pairs' lines are fetched to be compared as a crowd, and no table stays."""
     monkeypatch.setattr(linking, "SKETCHES", 50)
     rng = random.Random(8)
     lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(120)) for _ in range(300)]
@@ -398,6 +398,7 @@ def test_crowds_fetch_only_items_with_an_alike_one(spark, monkeypatch):
     got = {r["id"]: r["component"] for r in linker.components(members).collect()}
     assert got == {200 + i: i for i in range(10, 20)}
     assert sum(fetched) <= 40
+    assert all(name.startswith("cc") for name in scratch.paths)
 
 
 @pytest.mark.parametrize("planes", [0, 48])
